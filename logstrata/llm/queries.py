@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logstrata.llm import decontaminate, exact_dedup, langid, minhash, pieces
+from logstrata.llm import decontaminate, exact_dedup, langid, minhash, pieces, warc
 from logstrata.llm.common import table
 
 
@@ -18,6 +18,10 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches")
 
@@ -45,6 +49,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op8_exact_dedup": op8_exact_dedup,
@@ -56,6 +61,15 @@ _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 _PLAIN_WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY page_id) AS k, min(page_id) OVER (PARTITION BY h) AS m FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+       translate(array_to_string([to_base(('0x' || x[i:i + 9])::BIGINT, 32, 8) FOR i IN [1, 11, 21, 31]], ''),
+                 '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN m END AS refers_to
+FROM r
+""",
     "op4_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_PLAIN_WORDS.format("text")} AS w FROM documents),
 b AS (SELECT item_id, {_PLAIN_WORDS.format("text")} AS w FROM benchmark),
