@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logstrata.llm import decontaminate, exact_dedup, langid, minhash, pieces, warc
+from logstrata.llm import decontaminate, exact_dedup, langid, minhash, pieces, secret_scan, warc
 from logstrata.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, parser).withColumn("held_out", langid.fold_of("doc_id", LANG_FOLDS) == HELD_OUT)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.train(docs)).drop("found")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
+    "op6_secret_scan": op6_secret_scan,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_minhash": op10_minhash,
