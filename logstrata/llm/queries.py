@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logstrata.llm import decontaminate, exact_dedup, langid, minhash, pieces, secret_scan, warc
+from logstrata.llm import decontaminate, exact_dedup, langid, minhash, pieces, secret_scan, suffix_tree_lm, warc
 from logstrata.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(docs, secret_scan.train(docs)).drop("found")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(table(spark, sf_dir, "documents"), langid.fold_of("doc_id", LM_FOLDS) == HELD_OUT)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_secret_scan": op6_secret_scan,
+    "op7_lm_score": op7_lm_score,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_minhash": op10_minhash,
