@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logstrata.llm import decontaminate, exact_dedup, langid, minhash, pieces, secret_scan, suffix_tree_lm, warc
+from logstrata.llm import chat_format, decontaminate, exact_dedup, langid, minhash, pieces, secret_scan, suffix_tree_lm, token_counts, warc
 from logstrata.llm.common import table
 
 
@@ -18,6 +18,14 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.vocabulary(piece_model()))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -58,6 +66,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
+    "op2_token_counts": op2_token_counts,
     "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
