@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch handed to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS = 1000
@@ -52,9 +53,24 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes the tables written so far. Only for callers whose earlier results have all been stored elsewhere."""
-    while _WRITTEN:
+def aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with columns of neutral names, which no operator's own names can meet, and these by the old ones."""
+    names = {c: f"carried_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select([F.col(n).alias(c) for c, n in names.items()])
+
+
+def written() -> int:
+    """How many tables have been written and not been deleted."""
+    return len(_WRITTEN)
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Deletes the tables written after there were ``since``. Only for callers who have stored all that was made of them."""
+    while len(_WRITTEN) > since:
         delete(spark, _WRITTEN.pop())
 
 

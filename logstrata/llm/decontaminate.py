@@ -129,7 +129,9 @@ def decontaminate(
     configure(documents.sparkSession)
     context = documents.sparkSession.sparkContext
     keep = list(keep)
-    df = documents.select(*keep, F.col(text).alias("__text"))
+    body = text if text in keep else "__text"
+    rest = [c for c in keep if c != body]
+    df = documents.select(*rest, F.col(text).alias(body))
     names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "matches")
     kinds = (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType(), _FOUND_TYPE)
     verdict = T.StructType([*(documents.schema[c] for c in keep), *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))])
@@ -137,26 +139,26 @@ def decontaminate(
     def probe(df: DataFrame, block: list, last: bool) -> DataFrame:
         """The last block's pass judges; those before it only add to __found."""
         words = frozenset(w for _, ws in block for w in ws)
-        index = context.broadcast(Index(block, word_counts(df, words, "__text"), size))
+        index = context.broadcast(Index(block, word_counts(df, words, body), size))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = index.value
             for batch in batches:
-                texts = [words_of(d.as_py()) for d in binary(batch.column("__text"))]
+                texts = [words_of(d.as_py()) for d in binary(batch.column(body))]
                 found = [own.matches(words) for words in texts]
                 if "__found" in batch.schema.names:
                     before = batch.column("__found").to_pylist()
                     found = [[(x["begin"], x["end"], x["item"]) for x in old] + new for old, new in zip(before, found, strict=True)]
                 cells = pa.array([[{"begin": b, "end": e, "item": i} for b, e, i in row] for row in found], _FOUND)
                 if not last:
-                    yield pa.RecordBatch.from_arrays([batch.column("__text"), *(batch.column(c) for c in keep), cells], names=["__text", *keep, "__found"])
+                    yield pa.RecordBatch.from_arrays([batch.column(body), *(batch.column(c) for c in rest), cells], names=[body, *rest, "__found"])
                     continue
                 rows = [_judged(len(words), row, share) for words, row in zip(texts, found, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(_VERDICT)), cells], names=[*keep, *names])
 
         if last:
             return df.mapInArrow(run, verdict)
-        schema = T.StructType([df.schema["__text"], *(df.schema[c] for c in keep), T.StructField("__found", _FOUND_TYPE)])
+        schema = T.StructType([df.schema[body], *(df.schema[c] for c in rest), T.StructField("__found", _FOUND_TYPE)])
         return materialise(df.mapInArrow(run, schema), "decontaminate")
 
     blocks = _items(benchmark, item, item_text)

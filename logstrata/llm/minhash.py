@@ -171,6 +171,7 @@ def _profile(docs: DataFrame, text: str, carry: list[str], size: int) -> DataFra
                 bands += [own[rank[l]] if counts[i] else None for i, l in enumerate(lead)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*carry, "__text"]), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=[*carry, "__text", "__n", "__key", "__bands"])
 
+    carry = [c for c in carry if c != text]
     sent = docs.select(*carry, F.col(text).alias("__text"))
     added = [T.StructField("__n", T.LongType()), T.StructField("__key", T.BinaryType()), T.StructField("__bands", T.ArrayType(T.LongType()))]
     return sent.mapInArrow(run, T.StructType([*sent.schema.fields, *added])).withColumn("__row", F.monotonically_increasing_id())
@@ -291,11 +292,11 @@ def near_dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id", s
         tops = rooted.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("top"), F.sum("copies").alias("all"))
         by_class = rooted.join(tops, rooted["root"] == tops["r"]).drop("r", "root")
     by_class = materialise(by_class.select("__of", "first", "top"), "tops")
-    joined = rows.drop("__bands", "__text").join(by_class, rows["__key"] == by_class["__of"], "left")
+    joined = rows.drop("__bands").join(by_class, rows["__key"] == by_class["__of"], "left")
     empty = F.col("__of").isNull()
     top = F.when(empty, F.col(id_column)).otherwise(F.col("top.id"))
     return joined.select(
-        *carry,
+        *(F.col("__text").alias(text) if c == text else c for c in carry),
         F.col("__n").alias("n_shingles"),
         F.when(empty, F.col(id_column)).otherwise(F.col("first.id")).alias("class_id"),
         top.alias("component_id"),
