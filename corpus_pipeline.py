@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 
 from logstrata.llm import decontaminate, exact_dedup, langid, minhash, pieces
-from logstrata.llm.common import shared_dir, sweep, table
+from logstrata.llm.common import aside, back, shared_dir, sweep, table, written
 from logstrata.llm.queries import HELD_OUT, LANG_FOLDS, piece_model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,33 +18,42 @@ from pyspark.sql import functions as F
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+_since = 0  # scratch tables there were before the stages
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go: those without text or letters."""
+    global _since
+    _since = written()
     parser = langid.train(docs.filter(langid.fold_of("doc_id", LANG_FOLDS) != HELD_OUT))
-    return langid.identify(docs, parser, carry=docs.columns).filter("lang_pred <> 'und'").select(docs.columns)
+    df, names = aside(docs)
+    return back(langid.identify(df, parser, text=names["text"], carry=list(names.values())).filter("lang_pred <> 'und'"), names)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest doc_id stays."""
-    sweep(spark)
-    return exact_dedup.exact_dedup(docs, carry=docs.columns).filter("kept").select(docs.columns)
+    sweep(spark, _since)
+    df, names = aside(docs)
+    return back(exact_dedup.exact_dedup(df, text=names["text"], id_column=names["doc_id"], carry=list(names.values())).filter("kept"), names)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity of 0.8) the document with the smallest doc_id stays."""
-    sweep(spark)
-    return minhash.near_dedup(docs, size=5, percent=80, carry=docs.columns).filter("kept_row").select(docs.columns)
+    sweep(spark, _since)
+    df, names = aside(docs)
+    return back(minhash.near_dedup(df, text=names["text"], id_column=names["doc_id"], size=5, percent=80, carry=list(names.values())).filter("kept_row"), names)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth of the words or more lie in benchmark windows go."""
-    sweep(spark)
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns).filter(~F.col("contaminated")).select(docs.columns)
+    sweep(spark, _since)
+    df, names = aside(docs)
+    return back(decontaminate.decontaminate(df, table(spark, sf_dir, "benchmark"), text=names["text"], keep=list(names.values())).filter(~F.col("contaminated")), names)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each remaining document's id with the digests of its token ids and of their decoding."""
-    sweep(spark)
+    sweep(spark, _since)
     return pieces.round_trip(docs, piece_model())
 
 
