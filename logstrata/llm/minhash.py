@@ -9,8 +9,10 @@ with probability (1 - 0.8 ** 6) ** 64 < 4e-9.
 
 Links are confirmed on the sets themselves, of words, not of hashes. Documents with equal sets are one class and represented
 by one of them. Within a bucket not all pairs are formed: pivots are compared to those members that are not yet in the pivot's
-component. A compared pivot is done, and the number of pivots doubles with each round, until each bucket is one component or all
-its members have been pivots; so each candidate pair of different components is verified, and no link is lost to a cap.
+component. A compared pivot is done, and the number of pivots grows by PIVOTS with each round, until each bucket is one component or all
+its members have been pivots; so each candidate pair of different components is verified, and no link is lost to a cap. Pairs that
+cannot be links are left out by an exact bound: a set has no more in common with another than with all other candidates together,
+so shingles that only one candidate has limit its similarity to any.
 
 Cases: a null text and one without words have the empty set and are linked with nothing; a text of fewer words than a shingle
 has one element, the whole sequence; a null id sorts after all others; rows with the same id are different documents, of which
@@ -24,7 +26,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +34,10 @@ from logstrata.llm.common import binary, configure, materialise, raw, slices
 
 BANDS, ROWS = 64, 6
 BINS = BANDS * ROWS
+#: Pivots of a bucket in the first round that has several; as many times more in each that follows.
+PIVOTS = 16
+#: Rounds before these in which each document is compared with one partner: they join most of large groups at little cost.
+PROBES = 3
 #: Rounds of connecting components after which a chain longer than 2**ROUNDS would be left; never met, and an error if so.
 ROUNDS = 60
 
@@ -224,52 +230,91 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
 
 
+def _alone(texts: DataFrame, size: int) -> DataFrame:
+    """(node, u): how many of a candidate's shingles no other candidate has; those with none are left out.
+
+    Shingles count by 64-bit hashes here: two that collide only look shared, so u is never too great.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, nodes = binary(batch.column("__text")), batch.column("__row").to_numpy()
+            for start, stop in slices(data):
+                owner, h = shingle_hashes(data.slice(start, stop - start), size)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[start:stop][owner]), pa.array(h.view(np.int64))], names=["node", "h"])
+
+    owners = texts.mapInArrow(run, "node long, h long").groupBy("h").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("c"))
+    return owners.filter("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+
+
+def _can_link(percent: int) -> Column:
+    """Sets of n and pn elements, of which at most s and ps are common, can be as similar as that: an exact bound."""
+    return F.lit(100 + percent) * F.least("s", "ps") >= F.lit(percent) * (F.col("n") + F.col("pn"))
+
+
+def _open(members: DataFrame, percent: int) -> DataFrame:
+    """Members (bucket, node, n, s, root) that may still have a link to another component in their bucket.
+
+    A member's partner can have no more elements than it shares with anybody, so it goes if the bucket's least set has more; and a
+    bucket goes if one component is left.
+    """
+    sizes = members.groupBy("bucket").agg(F.min("n").alias("least"))
+    fits = F.lit(percent) * F.col("least") <= F.lit(100 + percent) * F.col("s") - F.lit(percent) * F.col("n")
+    left = members.join(sizes, "bucket").filter(fits).drop("least")
+    several = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
+    return left.join(several, "bucket")
+
+
+def _pivots(of: DataFrame, done: DataFrame | None, rank: Column, most: int) -> DataFrame:
+    """The most central members of each bucket that have not been pivots; tasks keep as many of a bucket before the exchange."""
+    free = of.join(done, ["bucket", "node"], "left_anti") if done is not None else of
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(rank))
+    chosen = free.withColumn("place", place).filter(F.col("place") <= most)
+    return materialise(chosen.select("bucket", F.col("node").alias("pivot"), F.col("root").alias("pr"), F.col("n").alias("pn"), F.col("s").alias("ps")), "pivots")
+
+
 def links(profile: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame | None:
     """Components (node, root) of the representatives' links; None where there are no candidates at all."""
-    spark = profile.sparkSession
     shared = classes.select("__row", "__n", F.explode("__bands").alias("bucket"))
     several = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket")
     members = materialise(shared.join(several, "bucket").select("bucket", F.col("__row").alias("node"), F.col("__n").alias("n")), "members")
-    texts = profile.select("__row", "__text")
-    found: DataFrame | None = None
-    labels: DataFrame | None = None
-    done: DataFrame | None = None  # (bucket, node) that have been pivots
-    pivots = 1
+    # The texts of candidates alone: all that verification moves from here on.
+    texts = materialise(profile.select("__row", "__text").join(members.select(F.col("node").alias("__row")).distinct(), "__row", "left_semi"), "texts")
+    alone = materialise(_alone(texts, size), "alone")
+    s = (F.col("n") - F.coalesce("u", F.lit(0))).alias("s")
+    members = members.join(alone, "node", "left").select("bucket", "node", "n", s).filter(F.lit(100) * F.col("s") >= F.lit(percent) * F.col("n"))
+    of = materialise(_open(members.withColumn("root", F.col("node")), percent), "open")
+    # Central are members with the least share of shingles that only they have.
+    rank = F.struct(((F.col("n") - F.col("s")) * 1_000_000 / F.col("n")).cast("long").alias("far"), F.col("node"), F.col("n").alias("pn"), F.col("s").alias("ps"))
+    fits = lambda partner, root: (partner != F.col("node")) & (root != F.col("root")) & _can_link(percent)
+    tried, found, labels, done, pivots, probes = None, None, None, None, PIVOTS, PROBES
     while True:
-        if labels is None:
-            # First round: of all its buckets' least members, each document is compared with the least.
-            least = members.groupBy("bucket").agg(F.min("node").alias("p"))
-            pairs = members.join(least, "bucket").filter("p < node").groupBy("node").agg(F.min("p").alias("a"))
-            pairs = pairs.select("a", F.col("node").alias("b"))
-            pairs = materialise(pairs, "pairs")
-            if not pairs.limit(1).count():
-                return None
-            tried = pairs
+        if probes:
+            # Probes: each document is compared with one new partner, the most central that leads a bucket of its own.
+            central = of.groupBy("bucket").agg(F.min(F.struct(rank.alias("p"), F.col("root").alias("pr"))).alias("c")).select("bucket", "c.p", "c.pr", "c.p.pn", "c.p.ps")
+            options = of.join(central, "bucket").filter(fits(F.col("p.node"), F.col("pr"))).select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b"), "node", "p").distinct()
+            options = options.join(tried, ["a", "b"], "left_anti") if tried is not None else options
+            pairs = options.groupBy("node").agg(F.min(F.struct("p", "a", "b")).alias("o")).select("o.a", "o.b").distinct()
+            probes -= 1
         else:
-            of = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            open_ = of.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-            of = materialise(of.join(open_, "bucket"), "open")
-            if not of.limit(1).count():
-                return labels
-            free = of.join(done, ["bucket", "node"], "left_anti") if done is not None else of
-            # The least members that have not been pivots; tasks keep as many of a bucket before the exchange.
-            rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-            chosen = free.withColumn("rank", rank).filter(F.col("rank") <= pivots)
-            chosen = materialise(chosen.select("bucket", F.col("node").alias("pivot"), F.col("root").alias("pr"), F.col("n").alias("pn")), "pivots")
+            chosen = _pivots(of, done, rank, pivots)
             if not chosen.limit(1).count():
                 return labels
-            size_fits = (F.lit(100) * F.least("n", "pn") >= F.lit(percent) * F.greatest("n", "pn"))
-            pairs = of.join(chosen, "bucket").filter((F.col("root") != F.col("pr")) & size_fits)
-            pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-            pairs = materialise(pairs, "pairs")
-            tried = tried.union(pairs)
+            pairs = of.join(chosen, "bucket").filter(fits(F.col("pivot"), F.col("pr"))).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+            pairs = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
             turn = chosen.select("bucket", F.col("pivot").alias("node"))
             done = turn if done is None else done.union(turn)
-            pivots *= 2
+            pivots *= PIVOTS
+        pairs = materialise(pairs, "pairs")
+        if not pairs.limit(1).count():
+            probes = 0
+            continue
+        tried = pairs if tried is None else tried.union(pairs)
         new = materialise(_verify(pairs, texts, size, percent), "links")
-        found = new if found is None else found.union(new)
-        if labels is None or new.limit(1).count():
+        if new.limit(1).count():
+            found = new if found is None else found.union(new)
             labels = components(found)
+            of = materialise(_open(of.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), percent), "open")
 
 
 def near_dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id", size: int = 5, percent: int = 80, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
