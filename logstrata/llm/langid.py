@@ -6,7 +6,7 @@ and the language that needs the fewest phrases wins.
 
 Texts are folded to lower case, runs of other characters than letters to one space, with a space at either end. The parse
 starts anew every BLOCK bytes, so blocks are parsed side by side by array operations: a table of the automaton gives, for a
-state and a byte, the next state and whether a phrase ended there.
+state and a byte, the next state and how many phrases ended there.
 
 Cases: a null text, or one without letters, is ``und`` with score 0; labels that are null are not learned; where languages need
 equally few phrases, the one with more training rows wins, then the first by name; without any labelled text all is ``und``;
@@ -112,17 +112,20 @@ class Parser:
                     own[state, self.classes[symbol]] = target
             restart = own[0].copy()
             found = own >= 0
-            missed = np.where(restart >= 0, restart, 0)  # the byte begins the next phrase
+            missed = np.where(restart >= 0, restart, 0)  # the byte begins the next phrase, or is one by itself
             target = np.where(found, own, missed[None, :]) + base
-            ended = ~found
-            target[:, -1], ended[:, -1] = np.arange(len(steps)) + base, False
-            tables.append((target * self.width * 2 + ended).astype(np.int32))
+            ended = (~found).astype(np.int64)
+            ended[1:] += ~found[1:] & (restart < 0)[None, :]
+            target[:, -1], ended[:, -1] = np.arange(len(steps)) + base, 0
+            tables.append(target * self.width * 4 + ended)
             self.roots.append(base * self.width)
             base += len(steps)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int64)
+        if len(self.table) < 1 << 29:
+            self.table = self.table.astype(np.int32)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """[languages, texts]: phrases ended within the blocks, and one for each block's last."""
+        """[languages, texts]: phrases ended within the blocks, and those that the blocks' ends cut off."""
         counts = [max(1, -(-len(t) // BLOCK)) for t in texts]
         total = sum(counts)
         grid = np.full((total, BLOCK), self.width - 1, np.int32)
@@ -139,17 +142,17 @@ class Parser:
         out = np.zeros((len(self.langs), len(texts)), np.int64)
         ends = np.concatenate([[0], np.cumsum(counts)[:-1]]) if counts else np.zeros(0, np.int64)
         for k, root in enumerate(self.roots):
-            at = np.full(total, root, np.int32)
+            at = np.full(total, root, self.table.dtype)
             n = np.zeros(total, np.int32)
             for i in range(BLOCK):
                 m = int(alive[i])
                 if not m:
                     break
                 to = self.table[at[:m] + columns[i, :m]]
-                n[:m] += to & 1
-                at[:m] = to >> 1
+                n[:m] += to & 3
+                at[:m] = to >> 2
             back = np.empty(total, np.int64)
-            back[order] = n + (sizes[order] > 0)
+            back[order] = n + (at != root)
             out[k] = np.add.reduceat(back, ends) if counts else 0
         return out
 

@@ -2,7 +2,7 @@
 
 Base spans come from three patterns. The method adds runs of token characters that a first-order Markov model of random strings
 explains better than one of ordinary identifiers, by a margin of the log-likelihood ratio. Both models are bigram counts of
-labelled samples: the base spans' values of some rows are the random strings, the other runs of the same rows the identifiers.
+labelled samples: the base spans' values of some rows are the random strings, the other runs met twice in these rows the identifiers.
 Counting is an aggregation with at most 2 * 68 ** 2 groups; scoring looks each bigram up in one constant array of whole numbers.
 
 Cases: a null text is empty and has no spans; a text without spans has '' as spans and the digest of ''; rows are scanned one by
@@ -29,8 +29,8 @@ ASSIGN_LEAST = 6
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN_LEAST = 16
 RUN = r"[A-Za-z0-9+/_=-]"
-#: Log-likelihood ratio (natural logarithm) from which a run counts as random: odds of e**24 against one.
-MARGIN = 24.0
+#: Log-likelihood ratio (natural logarithm) from which a run counts as random: odds of e**40 against one.
+MARGIN = 40.0
 #: About so many rows are the labelled samples, chosen by a hash of their text; the bound of the models' training.
 TRAIN_ROWS = 4000
 SMOOTH = 1.0
@@ -74,16 +74,23 @@ def _bigrams(run: Column) -> Column:
     return F.zip_with(F.slice(ids, 1, n), F.slice(ids, 2, n), lambda a, b: a * (len(ALPHABET) + 1) + b)
 
 
-def _ratios(counts: dict[tuple[int, int], int]) -> list[int]:
-    """Scaled log(P_random / P_identifier) for all pairs of classes, by place first * width + second."""
+def _model(counts: dict[tuple[int, int], int], label: int) -> list[list[float]]:
+    """Probabilities of each class after each, smoothed towards the classes' own frequencies."""
     width = len(ALPHABET) + 1
-    out = []
-    for a in range(width):
-        totals = [sum(counts.get((label, a * width + b), 0) for b in range(width)) for label in (0, 1)]
-        for b in range(width):
-            p = [(counts.get((label, a * width + b), 0) + SMOOTH) / (totals[label] + SMOOTH * width) for label in (0, 1)]
-            out.append(round(_SCALE * math.log(p[1] / p[0])))
-    return out
+    grid = [[counts.get((label, a * width + b), 0) for b in range(width)] for a in range(width)]
+    every = [sum(row[b] for row in grid) + 1 for b in range(width)]
+    own = [n / sum(every) for n in every]
+    return [[(n + SMOOTH * q) / (sum(row) + SMOOTH) for n, q in zip(row, own, strict=True)] for row in grid]
+
+
+def _ratios(counts: dict[tuple[int, int], int]) -> list[int]:
+    """Scaled log(P_random / P_identifier) for all pairs of classes, by place first * width + second.
+
+    The samples of random strings know few alphabets, so half of that model is a draw from the whole alphabet.
+    """
+    uniform = 1 / (len(ALPHABET) + 1)
+    rows = zip(_model(counts, 1), _model(counts, 0), strict=True)
+    return [round(_SCALE * math.log((p + uniform) / 2 / q)) for one, other in rows for p, q in zip(one, other, strict=True)]
 
 
 def train(docs: DataFrame, text: str = "text", rows: int = TRAIN_ROWS) -> list[int]:
@@ -100,8 +107,10 @@ def train(docs: DataFrame, text: str = "text", rows: int = TRAIN_ROWS) -> list[i
     for pattern in (ASSIGN, ACCESS, HEX):
         rest = F.regexp_replace("t" if pattern is ASSIGN else rest, pattern, " ")
     plain = sample.select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all(rest, F.lit(RUN + "{4,}"), F.lit(0))).alias("run"))
-    pairs = secret.union(plain).groupBy("label", "run").count().select("label", "count", F.explode(_bigrams(F.col("run"))).alias("pair"))
-    found = pairs.groupBy("label", "pair").agg(F.sum("count").alias("n")).collect()
+    # What is said but once may be a secret that no pattern knows, so identifiers are runs met again; each run counts once.
+    runs = secret.union(plain).groupBy("label", "run").count().filter("label = 1 OR count > 1")
+    pairs = runs.select("label", F.explode(_bigrams(F.col("run"))).alias("pair"))
+    found = pairs.groupBy("label", "pair").agg(F.count(F.lit(1)).alias("n")).collect()
     return _ratios({(r["label"], r["pair"]): r["n"] for r in found})
 
 
