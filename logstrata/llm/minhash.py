@@ -11,8 +11,8 @@ Links are confirmed on the sets themselves, of words, not of hashes. Documents w
 by one of them. Within a bucket not all pairs are formed: pivots are compared to those members that are not yet in the pivot's
 component. A compared pivot is done, and the number of pivots grows by PIVOTS with each round, until each bucket is one component or all
 its members have been pivots; so each candidate pair of different components is verified, and no link is lost to a cap. Pairs that
-cannot be links are left out by an exact bound: a set has no more in common with another than with all other candidates together,
-so shingles that only one candidate has limit its similarity to any.
+cannot be links are left out by exact bounds: a set has no more in common with another than with all other candidates together, and
+two sets that were compared with the same third share what both share with it, or else what lies beyond it and others have too.
 
 Cases: a null text and one without words have the empty set and are linked with nothing; a text of fewer words than a shingle
 has one element, the whole sequence; a null id sorts after all others; rows with the same id are different documents, of which
@@ -184,21 +184,22 @@ def _profile(docs: DataFrame, text: str, carry: list[str], size: int) -> DataFra
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of representatives those whose sets' similarity is percent or more. Texts of these only move."""
-    schema = "a long, b long"
+    """Pairs (a, b) of representatives with the number of elements they have in common, and whether that makes them a link."""
+    schema = "a long, b long, common long, linked boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[int | None, set] = (None, set())
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            linked = []
+            shared, linked = [], []
             for i, (x, y) in enumerate(zip(binary(batch.column("ta")), binary(batch.column("tb")), strict=True)):
                 if known[0] != a[i]:  # rows come sorted by a
                     known = (a[i], shingle_set(x.as_py(), size))
                 one, other = known[1], shingle_set(y.as_py(), size)
                 common = len(one & other)
+                shared.append(common)
                 linked.append(100 * common >= percent * (len(one) + len(other) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(linked))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(linked)], names=["a", "b", "common", "linked"])
 
     own = texts.select(F.col("__row").alias("b"), F.col("__text").alias("tb"))
     other = texts.select(F.col("__row").alias("a"), F.col("__text").alias("ta"))
@@ -248,12 +249,18 @@ def _alone(texts: DataFrame, size: int) -> DataFrame:
 
 
 def _can_link(percent: int) -> Column:
-    """Sets of n and pn elements, of which at most s and ps are common, can be as similar as that: an exact bound."""
-    return F.lit(100 + percent) * F.least("s", "ps") >= F.lit(percent) * (F.col("n") + F.col("pn"))
+    """Whether sets can be as similar as that, by exact bounds on what they have in common.
+
+    Of n and pn elements at most s and ps are common to anybody. Where both sets have been compared with the same one, with which they
+    have a and pa in common, then what they share lies within that one, or is common to somebody beyond it.
+    """
+    beyond = F.least("a", "pa") + F.least(F.col("s") - F.col("a"), F.col("ps") - F.col("pa"))
+    most = F.when(F.col("ref") == F.col("pref"), F.least(beyond, "s", "ps")).otherwise(F.least("s", "ps"))
+    return F.lit(100 + percent) * most >= F.lit(percent) * (F.col("n") + F.col("pn"))
 
 
 def _open(members: DataFrame, percent: int) -> DataFrame:
-    """Members (bucket, node, n, s, root) that may still have a link to another component in their bucket.
+    """Members (bucket, node, n, s, ref, a, root) that may still have a link to another component in their bucket.
 
     A member's partner can have no more elements than it shares with anybody, so it goes if the bucket's least set has more; and a
     bucket goes if one component is left.
@@ -270,7 +277,8 @@ def _pivots(of: DataFrame, done: DataFrame | None, rank: Column, most: int) -> D
     free = of.join(done, ["bucket", "node"], "left_anti") if done is not None else of
     place = F.row_number().over(Window.partitionBy("bucket").orderBy(rank))
     chosen = free.withColumn("place", place).filter(F.col("place") <= most)
-    return materialise(chosen.select("bucket", F.col("node").alias("pivot"), F.col("root").alias("pr"), F.col("n").alias("pn"), F.col("s").alias("ps")), "pivots")
+    chosen = chosen.select("bucket", rank.alias("p"))
+    return materialise(chosen.select("bucket", "p", *(f"p.{c}" for c in ("pn", "ps", "pref", "pa", "pr"))), "pivots")
 
 
 def links(profile: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame | None:
@@ -283,34 +291,47 @@ def links(profile: DataFrame, classes: DataFrame, size: int, percent: int) -> Da
     alone = materialise(_alone(texts, size), "alone")
     s = (F.col("n") - F.coalesce("u", F.lit(0))).alias("s")
     members = members.join(alone, "node", "left").select("bucket", "node", "n", s).filter(F.lit(100) * F.col("s") >= F.lit(percent) * F.col("n"))
-    of = materialise(_open(members.withColumn("root", F.col("node")), percent), "open")
+    # At first each set has been compared with itself only: all of it is common, and nothing lies beyond.
+    itself = [F.col("node").alias("ref"), F.col("s").alias("a"), F.col("node").alias("root")]
+    of = materialise(_open(members.select("*", *itself), percent), "open")
     # Central are members with the least share of shingles that only they have.
-    rank = F.struct(((F.col("n") - F.col("s")) * 1_000_000 / F.col("n")).cast("long").alias("far"), F.col("node"), F.col("n").alias("pn"), F.col("s").alias("ps"))
-    fits = lambda partner, root: (partner != F.col("node")) & (root != F.col("root")) & _can_link(percent)
-    tried, found, labels, done, pivots, probes = None, None, None, None, PIVOTS, PROBES
+    far = ((F.col("n") - F.col("s")) * 1_000_000 / F.col("n")).cast("long").alias("far")
+    rank = F.struct(far, "node", F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("ref").alias("pref"), F.col("a").alias("pa"), F.col("root").alias("pr"))
+    tried, found, labels, done, pivots, probe = None, None, None, None, PIVOTS, 0
     while True:
-        if probes:
+        if probe < PROBES:
             # Probes: each document is compared with one new partner, the most central that leads a bucket of its own.
-            central = of.groupBy("bucket").agg(F.min(F.struct(rank.alias("p"), F.col("root").alias("pr"))).alias("c")).select("bucket", "c.p", "c.pr", "c.p.pn", "c.p.ps")
-            options = of.join(central, "bucket").filter(fits(F.col("p.node"), F.col("pr"))).select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b"), "node", "p").distinct()
+            central = of.groupBy("bucket").agg(F.min(rank).alias("p")).select("bucket", "p", *(f"p.{c}" for c in ("pn", "ps", "pref", "pa", "pr")))
+            fits = (F.col("p.node") != F.col("node")) & (F.col("root") != F.col("pr")) & _can_link(percent)
+            options = of.join(central, "bucket").filter(fits).select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b"), "node", "p").distinct()
             options = options.join(tried, ["a", "b"], "left_anti") if tried is not None else options
-            pairs = options.groupBy("node").agg(F.min(F.struct("p", "a", "b")).alias("o")).select("o.a", "o.b").distinct()
-            probes -= 1
+            chosen = options.groupBy("node").agg(F.min(F.struct("p", "a", "b")).alias("o")).select("node", F.col("o.p.node").alias("partner"), "o.a", "o.b")
+            chosen = materialise(chosen, "probes")
+            pairs = chosen.select("a", "b").distinct()
+            probe += 1
         else:
             chosen = _pivots(of, done, rank, pivots)
             if not chosen.limit(1).count():
                 return labels
-            pairs = of.join(chosen, "bucket").filter(fits(F.col("pivot"), F.col("pr"))).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+            fits = (F.col("p.node") != F.col("node")) & (F.col("root") != F.col("pr")) & _can_link(percent)
+            pairs = of.join(chosen, "bucket").filter(fits).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
             pairs = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
-            turn = chosen.select("bucket", F.col("pivot").alias("node"))
+            turn = chosen.select("bucket", F.col("p.node").alias("node"))
             done = turn if done is None else done.union(turn)
             pivots *= PIVOTS
         pairs = materialise(pairs, "pairs")
         if not pairs.limit(1).count():
-            probes = 0
+            probe = PROBES
             continue
         tried = pairs if tried is None else tried.union(pairs)
-        new = materialise(_verify(pairs, texts, size, percent), "links")
+        verified = materialise(_verify(pairs, texts, size, percent), "links")
+        if tried is pairs:
+            # The first probe's partners become what sets have been compared with; a partner stands for itself.
+            led = chosen.select(F.col("partner").alias("node")).distinct()
+            refs = chosen.join(verified, ["a", "b"]).join(led, "node", "left_anti").select("node", F.col("partner").alias("r"), "common")
+            of = of.join(materialise(refs, "refs"), "node", "left").withColumns({"ref": F.coalesce("r", "ref"), "a": F.coalesce("common", "a")}).drop("r", "common")
+            of = materialise(of, "open")
+        new = verified.filter("linked").select("a", "b")
         if new.limit(1).count():
             found = new if found is None else found.union(new)
             labels = components(found)
