@@ -14,6 +14,11 @@ class Files:
         found = self._jvm.org.apache.hadoop.fs.Path(path)
         return found, found.getFileSystem(self._conf)
 
+    def local(self, path: str) -> str | None:
+        """The plain path, if it lies in a mounted file system that this process can open."""
+        at, fs = self._path(path)
+        return at.toUri().getPath() if fs.getUri().getScheme() == "file" else None
+
     def exists(self, path: str) -> bool:
         at, fs = self._path(path)
         return fs.exists(at)
