@@ -40,6 +40,8 @@ PIVOTS = 16
 PROBES = 3
 #: Rounds of connecting components after which a chain longer than 2**ROUNDS would be left; never met, and an error if so.
 ROUNDS = 60
+#: Parts of a text by which it is told where two sets agree with a third.
+PARTS = 64
 
 _U = np.uint64
 _BASE, _INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
@@ -152,6 +154,17 @@ def shingle_set(data: bytes, size: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[k:] for k in range(size)), strict=False))
 
 
+def _parted(data: bytes, size: int) -> dict[tuple[bytes, ...], int]:
+    """The set, with the part of the text in which each shingle first stands."""
+    words = data.lower().split()
+    if len(words) <= size:
+        return {tuple(words): 0} if words else {}
+    n, out = len(words) - size + 1, {}
+    for i, shingle in enumerate(zip(*(words[k:] for k in range(size)), strict=False)):
+        out.setdefault(shingle, i * PARTS // n)
+    return out
+
+
 def _profile(docs: DataFrame, text: str, carry: list[str], size: int) -> DataFrame:
     """Rows with carry columns, __n (size of the set), __key (a digest of the set) and __bands."""
 
@@ -184,22 +197,23 @@ def _profile(docs: DataFrame, text: str, carry: list[str], size: int) -> DataFra
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of representatives with the number of elements they have in common, and whether that makes them a link."""
-    schema = "a long, b long, common long, linked boolean"
+    """Pairs (a, b) of representatives, whether they are a link, and how many elements of each part of a's text b has too."""
+    schema = "a long, b long, linked boolean, parts array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple[int | None, set] = (None, set())
+        known: tuple[int | None, dict] = (None, {})
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            shared, linked = [], []
+            parts, linked = [], []
             for i, (x, y) in enumerate(zip(binary(batch.column("ta")), binary(batch.column("tb")), strict=True)):
                 if known[0] != a[i]:  # rows come sorted by a
-                    known = (a[i], shingle_set(x.as_py(), size))
+                    known = (a[i], _parted(x.as_py(), size))
                 one, other = known[1], shingle_set(y.as_py(), size)
-                common = len(one & other)
-                shared.append(common)
+                both = one.keys() & other
+                common = len(both)
+                parts.append(np.bincount([one[x] for x in both], minlength=PARTS) if common else np.zeros(PARTS, np.int64))
                 linked.append(100 * common >= percent * (len(one) + len(other) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(linked)], names=["a", "b", "common", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(parts, pa.list_(pa.int32()))], names=["a", "b", "linked", "parts"])
 
     own = texts.select(F.col("__row").alias("b"), F.col("__text").alias("tb"))
     other = texts.select(F.col("__row").alias("a"), F.col("__text").alias("ta"))
@@ -251,16 +265,19 @@ def _alone(texts: DataFrame, size: int) -> DataFrame:
 def _can_link(percent: int) -> Column:
     """Whether sets can be as similar as that, by exact bounds on what they have in common.
 
-    Of n and pn elements at most s and ps are common to anybody. Where both sets have been compared with the same one, with which they
-    have a and pa in common, then what they share lies within that one, or is common to somebody beyond it.
+    Of n and pn elements at most s and ps are common to anybody. Where both sets have been compared with the same third, what they
+    share lies in one of its parts, of which each set has so many elements, or beyond it and is common to somebody.
     """
-    beyond = F.least("a", "pa") + F.least(F.col("s") - F.col("a"), F.col("ps") - F.col("pa"))
-    most = F.when(F.col("ref") == F.col("pref"), F.least(beyond, "s", "ps")).otherwise(F.least("s", "ps"))
-    return F.lit(100 + percent) * most >= F.lit(percent) * (F.col("n") + F.col("pn"))
+    enough = lambda most: F.lit(100 + percent) * most >= F.lit(percent) * (F.col("n") + F.col("pn"))
+    total = lambda parts: F.aggregate(parts, F.lit(0).cast("long"), lambda x, y: x + y)
+    within = total(F.zip_with("parts", "pparts", lambda x, y: F.least(x, y)))
+    beyond = F.least(F.col("s") - total(F.col("parts")), F.col("ps") - total(F.col("pparts")))
+    known = (F.col("ref") == F.col("pref")) & F.col("parts").isNotNull() & F.col("pparts").isNotNull()
+    return enough(F.least("s", "ps")) & F.when(known, enough(within + beyond)).otherwise(True)
 
 
 def _open(members: DataFrame, percent: int) -> DataFrame:
-    """Members (bucket, node, n, s, ref, a, root) that may still have a link to another component in their bucket.
+    """Members (bucket, node, n, s, ref, parts, root) that may still have a link to another component in their bucket.
 
     A member's partner can have no more elements than it shares with anybody, so it goes if the bucket's least set has more; and a
     bucket goes if one component is left.
@@ -278,7 +295,7 @@ def _pivots(of: DataFrame, done: DataFrame | None, rank: Column, most: int) -> D
     place = F.row_number().over(Window.partitionBy("bucket").orderBy(rank))
     chosen = free.withColumn("place", place).filter(F.col("place") <= most)
     chosen = chosen.select("bucket", rank.alias("p"))
-    return materialise(chosen.select("bucket", "p", *(f"p.{c}" for c in ("pn", "ps", "pref", "pa", "pr"))), "pivots")
+    return materialise(chosen.select("bucket", "p", *(f"p.{c}" for c in ("pn", "ps", "pref", "pparts", "pr"))), "pivots")
 
 
 def links(profile: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame | None:
@@ -291,23 +308,20 @@ def links(profile: DataFrame, classes: DataFrame, size: int, percent: int) -> Da
     alone = materialise(_alone(texts, size), "alone")
     s = (F.col("n") - F.coalesce("u", F.lit(0))).alias("s")
     members = members.join(alone, "node", "left").select("bucket", "node", "n", s).filter(F.lit(100) * F.col("s") >= F.lit(percent) * F.col("n"))
-    # At first each set has been compared with itself only: all of it is common, and nothing lies beyond.
-    itself = [F.col("node").alias("ref"), F.col("s").alias("a"), F.col("node").alias("root")]
+    itself = [F.col("node").alias("ref"), F.lit(None).cast("array<int>").alias("parts"), F.col("node").alias("root")]
     of = materialise(_open(members.select("*", *itself), percent), "open")
     # Central are members with the least share of shingles that only they have.
     far = ((F.col("n") - F.col("s")) * 1_000_000 / F.col("n")).cast("long").alias("far")
-    rank = F.struct(far, "node", F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("ref").alias("pref"), F.col("a").alias("pa"), F.col("root").alias("pr"))
+    rank = F.struct(far, "node", F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("ref").alias("pref"), F.col("parts").alias("pparts"), F.col("root").alias("pr"))
     tried, found, labels, done, pivots, probe = None, None, None, None, PIVOTS, 0
     while True:
         if probe < PROBES:
             # Probes: each document is compared with one new partner, the most central that leads a bucket of its own.
-            central = of.groupBy("bucket").agg(F.min(rank).alias("p")).select("bucket", "p", *(f"p.{c}" for c in ("pn", "ps", "pref", "pa", "pr")))
+            central = of.groupBy("bucket").agg(F.min(rank).alias("p")).select("bucket", "p", *(f"p.{c}" for c in ("pn", "ps", "pref", "pparts", "pr")))
             fits = (F.col("p.node") != F.col("node")) & (F.col("root") != F.col("pr")) & _can_link(percent)
-            options = of.join(central, "bucket").filter(fits).select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b"), "node", "p").distinct()
+            options = of.join(central, "bucket").filter(fits).select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b"), "node", F.struct("p.far", "p.node").alias("p")).distinct()
             options = options.join(tried, ["a", "b"], "left_anti") if tried is not None else options
-            chosen = options.groupBy("node").agg(F.min(F.struct("p", "a", "b")).alias("o")).select("node", F.col("o.p.node").alias("partner"), "o.a", "o.b")
-            chosen = materialise(chosen, "probes")
-            pairs = chosen.select("a", "b").distinct()
+            pairs = options.groupBy("node").agg(F.min("p").alias("o")).select(F.col("o.node").alias("a"), F.col("node").alias("b"))
             probe += 1
         else:
             chosen = _pivots(of, done, rank, pivots)
@@ -323,14 +337,14 @@ def links(profile: DataFrame, classes: DataFrame, size: int, percent: int) -> Da
         if not pairs.limit(1).count():
             probe = PROBES
             continue
-        tried = pairs if tried is None else tried.union(pairs)
         verified = materialise(_verify(pairs, texts, size, percent), "links")
-        if tried is pairs:
-            # The first probe's partners become what sets have been compared with; a partner stands for itself.
-            led = chosen.select(F.col("partner").alias("node")).distinct()
-            refs = chosen.join(verified, ["a", "b"]).join(led, "node", "left_anti").select("node", F.col("partner").alias("r"), "common")
-            of = of.join(materialise(refs, "refs"), "node", "left").withColumns({"ref": F.coalesce("r", "ref"), "a": F.coalesce("common", "a")}).drop("r", "common")
+        if tried is None:
+            # What sets have been compared with is their first probe's partner.
+            refs = verified.select(F.col("b").alias("node"), F.col("a").alias("r"), F.col("parts").alias("q"))
+            of = of.drop("parts").join(refs, "node", "left").withColumns({"ref": F.coalesce("r", "ref"), "parts": F.col("q")}).drop("r", "q")
             of = materialise(of, "open")
+        sides = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        tried = sides if tried is None else tried.union(sides)
         new = verified.filter("linked").select("a", "b")
         if new.limit(1).count():
             found = new if found is None else found.union(new)
