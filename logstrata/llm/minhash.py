@@ -10,7 +10,7 @@ with probability (1 - 0.8 ** 6) ** 64 < 4e-9.
 Links are confirmed on the sets themselves, of words, not of hashes. Documents with equal sets are one class and represented
 by one of them. Within a bucket not all pairs are formed: pivots are compared to those members that are not yet in the pivot's
 component. A compared pivot is done, and the number of pivots grows by PIVOTS with each round, until each bucket is one component or all
-its members have been pivots; so each candidate pair of different components is verified, and no link is lost to a cap. Pairs that
+its members but those of one component have been pivots; so each candidate pair of different components is verified, and no link is lost to a cap. Pairs that
 cannot be links are left out by exact bounds: a set has no more in common with another than with all other candidates together, and
 two sets that were compared with the same third share what both share with it, or else what lies beyond it and others have too.
 
@@ -290,8 +290,13 @@ def _open(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _pivots(of: DataFrame, done: DataFrame | None, rank: Column, most: int) -> DataFrame:
-    """The most central members of each bucket that have not been pivots; tasks keep as many of a bucket before the exchange."""
-    free = of.join(done, ["bucket", "node"], "left_anti") if done is not None else of
+    """The most central members of each bucket that have not been pivots; tasks keep as many of a bucket before the exchange.
+
+    Members of a bucket's greatest component need not be pivots: each pair of two components has a member of another one.
+    """
+    counts = of.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("most"))
+    free = of.join(counts, "bucket").filter(F.col("root") != F.col("most.root")).drop("most")
+    free = free.join(done, ["bucket", "node"], "left_anti") if done is not None else free
     place = F.row_number().over(Window.partitionBy("bucket").orderBy(rank))
     chosen = free.withColumn("place", place).filter(F.col("place") <= most)
     chosen = chosen.select("bucket", rank.alias("p"))
