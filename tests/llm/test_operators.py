@@ -281,6 +281,17 @@ def test_automaton_follows_the_longest_suffix():
         assert got == pytest.approx(total, rel=1e-9)
 
 
+def test_retained_contexts_do_not_depend_on_the_rest(spark):
+    """What a small table learns of a rare script, a larger one with more of another keeps."""
+    rng = random.Random(5)
+    joined = lambda n: "".join(rng.choice("это был для что как его она они было уже где там".split()) for _ in range(n))
+    rare, much = [joined(60) for _ in range(12)], [LONG] * 100
+    frame = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string")
+    asked = [suffix_tree_lm.plain(joined(400).encode())]
+    small, large = (suffix_tree_lm.train(frame(texts)).score(asked)[0] for texts in (rare, rare + much))
+    assert large == pytest.approx(small, rel=0.02)
+
+
 # -- 10
 
 
