@@ -172,16 +172,17 @@ class Parser:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Parser:
-    """A parser from a bounded sample: of each language about TRAIN_ROWS rows chosen by a hash of their text."""
+    """A parser from a bounded sample: of each language about 2 * TRAIN_ROWS distinct texts chosen by their hash, or all if fewer."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    weights = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(MOST_LABELS + 1).collect()}
+    sums = rows.groupBy(lang).agg(F.count(F.lit(1)), F.count_distinct(F.xxhash64(F.col(text)))).limit(MOST_LABELS + 1).collect()
+    weights, texts = {r[0]: r[1] for r in sums}, {r[0]: r[2] for r in sums}
     if len(weights) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels in {lang}")
     if not weights:
         return Parser({}, {})
     draw = F.pmod(F.xxhash64(F.col(text), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     rate = F.lit(0.0)
-    for name, n in weights.items():
+    for name, n in texts.items():  # copies do not lower a language's rate
         rate = F.when(F.col(lang) == name, F.lit(2.0 * TRAIN_ROWS / n)).otherwise(rate)
     head = F.substring(F.col(text), 1, ROW_BYTES).alias("t")  # of training rows; predictions read whole texts
     sample = rows.filter(draw < rate).select(F.col(lang).alias("l"), head, draw.alias("d")).distinct()

@@ -170,6 +170,15 @@ def test_languages(spark):
     assert langid.identify(empty(spark), parser).count() == 0
 
 
+def test_copies_do_not_thin_out_a_language(spark):
+    others = [prose(i, 12, LANGS["fr"]) for i in range(20)]
+    rows = [(prose(99, 12, LANGS["fr"]), "fr")] * 3000 + [(t, "fr") for t in others] + [(prose(i, 40, LANGS["de"]), "de") for i in range(200)]
+    parser = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert parser.langs == ["fr", "de"]
+    # Each text was learned: it is one phrase.
+    assert parser.phrases(langid.folded(pa.array(others)))[0].tolist() == [1] * len(others)
+
+
 def test_phrases_are_longest_matches():
     text = {"a": b"\0abcab\0bca\0", "b": b"\0xyzzy\0"}
     parser = langid.Parser(text, {})
