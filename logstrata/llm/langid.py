@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 
 from logstrata.llm.common import binary, configure, raw, slices
 
-#: Bytes of folded text that each language's automaton is built from, rows they are taken from, and bytes taken from one row.
-#: These bound the model: at most 2 * TRAIN_BYTES states for each language, whatever the size of the table.
-TRAIN_BYTES, TRAIN_ROWS, ROW_BYTES = 16384, 64, 512
+#: Bytes of folded text that each language's automaton is built from, and characters of the windows that texts are cut into for it.
+#: The first bounds the model: at most 2 * TRAIN_BYTES states for each language, whatever the size of the table.
+TRAIN_BYTES, WINDOW = 16384, 512
 #: More labels than this are taken for a mistake.
 MOST_LABELS = 256
 BLOCK = 512
@@ -172,22 +172,24 @@ class Parser:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Parser:
-    """A parser from a bounded sample: of each language about 2 * TRAIN_ROWS distinct texts chosen by their hash, or all if fewer."""
+    """A parser from a bounded sample: of each language TRAIN_BYTES of distinct windows of its texts, chosen by a hash, or all if fewer."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sums = rows.groupBy(lang).agg(F.count(F.lit(1)), F.count_distinct(F.xxhash64(F.col(text)))).limit(MOST_LABELS + 1).collect()
-    weights, texts = {r[0]: r[1] for r in sums}, {r[0]: r[2] for r in sums}
+    weights = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(MOST_LABELS + 1).collect()}
     if len(weights) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels in {lang}")
     if not weights:
         return Parser({}, {})
-    draw = F.pmod(F.xxhash64(F.col(text), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    letters = F.trim(F.regexp_replace(F.col(text), r"[^a-zA-Z\x{80}-\x{10FFFF}]+", " "))
+    windows = rows.select(F.col(lang).alias("l"), F.explode(F.regexp_extract_all(letters, F.lit(f"(?s).{{1,{WINDOW}}}"), F.lit(0))).alias("t"))
+    windows = windows.withColumn("h", F.xxhash64(F.col("t"), F.lit(5)))
+    # Copies of a text, and heads that texts share, are one window: they neither lower a language's rate nor fill its bytes.
+    distinct = windows.groupBy("l", "h").agg(F.max(F.octet_length("t")).alias("size"))
+    sizes = {r[0]: r[1] for r in distinct.groupBy("l").agg(F.sum("size")).collect()}
     rate = F.lit(0.0)
-    for name, n in texts.items():  # copies do not lower a language's rate
-        rate = F.when(F.col(lang) == name, F.lit(2.0 * TRAIN_ROWS / n)).otherwise(rate)
-    head = F.substring(F.col(text), 1, ROW_BYTES).alias("t")  # of training rows; predictions read whole texts
-    sample = rows.filter(draw < rate).select(F.col(lang).alias("l"), head, draw.alias("d")).distinct()
-    # Copies share a draw, so a hot text comes whole or not at all, and once.
-    drawn = sample.sort("d").limit(4 * TRAIN_ROWS * len(weights)).collect()
+    for name, size in sizes.items():
+        rate = F.when(F.col("l") == name, F.lit(2.0 * TRAIN_BYTES / size)).otherwise(rate)
+    draw = F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = windows.filter(draw < rate).select("l", "t", draw.alias("d")).distinct().collect()  # about 2 * TRAIN_BYTES a language
     found: dict[str, list[bytes]] = {}
     for l, t, _ in sorted(drawn, key=lambda r: (r[2], r[1])):
         found.setdefault(l, []).append(folded(pa.array([t]))[0].tobytes())

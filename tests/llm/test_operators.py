@@ -179,6 +179,18 @@ def test_copies_do_not_thin_out_a_language(spark):
     assert parser.phrases(langid.folded(pa.array(others)))[0].tolist() == [1] * len(others)
 
 
+def test_training_reads_whole_texts(spark):
+    long, head = [prose(i, 500, LANGS["fr"]) for i in range(4)], prose(7, 130, LANGS["de"])
+    bodies = [prose(100 + i, 12, LANGS["de"]) for i in range(40)]
+    rows = [(t, "fr") for t in long] + [(f"{head} {t}", "de") for t in bodies]
+    parser = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(head) > langid.WINDOW and parser.langs == ["de", "fr"]
+    asked = langid.folded(pa.array(long))
+    # All of it was learned: only the ends of windows and blocks, and what they cut, end phrases.
+    assert all(n <= 4 * -(-len(t) // langid.WINDOW) for n, t in zip(parser.phrases(asked)[1], asked, strict=True))
+    assert sum(parser.phrases(langid.folded(pa.array(bodies)))[0]) <= 1.2 * len(bodies)
+
+
 def test_phrases_are_longest_matches():
     text = {"a": b"\0abcab\0bca\0", "b": b"\0xyzzy\0"}
     parser = langid.Parser(text, {})
