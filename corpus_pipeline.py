@@ -65,7 +65,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("sentencepiece", encoded),
 ]
 
-#: Language models and sketches are beyond SQL: tests/llm holds the pipeline against a brute-force version.
+#: Language models and sketches are beyond SQL: tests/llm holds the operators against brute force, but no test yet runs the stages together.
 ORACLE_SQL: str | None = None
 
 
