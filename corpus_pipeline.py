@@ -1,7 +1,11 @@
 """From raw documents to those worth training on: five stages, each written as Parquet and read again by the next.
 
-Every stage works on all rows of the one before. All but the last return the columns of documents; the last adds the digests of
-encoding and decoding. A stage first deletes the scratch tables of those before it, whose results have been stored by then.
+Every stage works on all rows of the one before. All but the last return the columns of documents, whatever names others have; the
+last adds the digests of encoding and decoding. ``run`` deletes what a stage wrote for itself, and its input, once its result is stored;
+who calls a stage alone does so inside ``scratch``, or leaves its tables in the shared folder.
+
+Cases: documents without text or letters go with the first stage; null ids sort after all others and, like rows with equal ids, are
+documents of their own; an empty table leaves an empty one; ties and repeated rows follow the rules of the operators.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ import uuid
 from collections.abc import Callable
 
 from logstrata.llm import decontaminate, exact_dedup, langid, minhash, pieces
-from logstrata.llm.common import aside, back, shared_dir, sweep, table, written
+from logstrata.llm.common import aside, back, delete, scratch, shared_dir, table
 from logstrata.llm.queries import HELD_OUT, LANG_FOLDS, piece_model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +22,8 @@ from pyspark.sql import functions as F
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-_since = 0  # scratch tables there were before the stages
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go: those without text or letters."""
-    global _since
-    _since = written()
     parser = langid.train(docs.filter(langid.fold_of("doc_id", LANG_FOLDS) != HELD_OUT))
     df, names = aside(docs)
     return back(langid.identify(df, parser, text=names["text"], carry=list(names.values())).filter("lang_pred <> 'und'"), names)
@@ -32,28 +31,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest doc_id stays."""
-    sweep(spark, _since)
     df, names = aside(docs)
     return back(exact_dedup.exact_dedup(df, text=names["text"], id_column=names["doc_id"], carry=list(names.values())).filter("kept"), names)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity of 0.8) the document with the smallest doc_id stays."""
-    sweep(spark, _since)
     df, names = aside(docs)
     return back(minhash.near_dedup(df, text=names["text"], id_column=names["doc_id"], size=5, percent=80, carry=list(names.values())).filter("kept_row"), names)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth of the words or more lie in benchmark windows go."""
-    sweep(spark, _since)
     df, names = aside(docs)
     return back(decontaminate.decontaminate(df, table(spark, sf_dir, "benchmark"), text=names["text"], keep=list(names.values())).filter(~F.col("contaminated")), names)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each remaining document's id with the digests of its token ids and of their decoding."""
-    sweep(spark, _since)
     return pieces.round_trip(docs, piece_model())
 
 
@@ -65,15 +60,19 @@ STAGES: list[tuple[str, Stage]] = [
     ("sentencepiece", encoded),
 ]
 
-#: Language models and sketches are beyond SQL: tests/llm holds the operators against brute force, but no test yet runs the stages together.
+#: SentencePiece is beyond SQL: tests/llm/test_pipeline.py holds each stage, and all together, against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents; each stage's result is written to the shared folder before the next reads it."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.parquet(f"{base}/{k}-{name}")
+        path = f"{base}/{k}-{name}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch handed to Python: bounds a worker's memory when texts are long.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch handed to Python: they bound a worker's memory when texts are long (one row may be longer).
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Text bytes that the vectorised kernels take at a time (a longer text is taken alone).
 SLICE_BYTES = 1 << 20
 
@@ -24,27 +26,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def configure(spark: SparkSession) -> None:
     """Bounds the Arrow batches; nothing else of the session is changed."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A temporary one is made only where none is set (local tests)."""
+    """The folder that driver and executors share. A temporary one is made only where none is set and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="scratch-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-_WRITTEN: list[str] = []
+_TABLES: ContextVar[list[str] | None] = ContextVar("scratch tables of the running call", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the scratch tables written within. What is returned lazily must have been stored by then.
+
+    Each call has its own list; outside of any, tables stay in the shared folder for as long as that is kept.
+    """
+    mark = _TABLES.set([])
+    try:
+        yield
+    finally:
+        for path in _TABLES.get() or []:
+            delete(spark, path)
+        _TABLES.reset(mark)
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if (tables := _TABLES.get()) is not None:
+        tables.append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back: cuts the lineage, outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -63,15 +88,19 @@ def back(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select([F.col(n).alias(c) for c, n in names.items()])
 
 
-def written() -> int:
-    """How many tables have been written and not been deleted."""
-    return len(_WRITTEN)
+def carried(carry: Sequence[str], outputs: Sequence[str]) -> list[str]:
+    """The columns that pass through: one of an output's name gives way to it, in every operator."""
+    taken = {o.lower() for o in outputs}
+    return [c for c in dict.fromkeys(carry) if c.lower() not in taken]
 
 
-def sweep(spark: SparkSession, since: int) -> None:
-    """Deletes the tables written after there were ``since``. Only for callers who have stored all that was made of them."""
-    while len(_WRITTEN) > since:
-        delete(spark, _WRITTEN.pop())
+def neutral(df: DataFrame, carry: Sequence[str], **own: str) -> tuple[DataFrame, list[Column]]:
+    """The operator's own columns, and the carried ones under names that meet no others; and what gives these back their names."""
+    held = {c: o for o, c in own.items()}
+    names = {c: held.get(c, f"carried_{i}") for i, c in enumerate(carry)}
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    sent = df.select(*(quoted(c).alias(o) for o, c in own.items()), *(quoted(c).alias(n) for c, n in names.items() if n not in own))
+    return sent, [F.col(n).alias(c) for c, n in names.items()]
 
 
 def binary(column: pa.Array | pa.ChunkedArray) -> pa.Array:
