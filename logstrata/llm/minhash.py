@@ -7,8 +7,9 @@ probability of the sets' Jaccard similarity, with concentration as strong as for
 agree in one of BANDS bands are candidates. At similarity 0.8 one band agrees with probability 0.26, so a link escapes all 64
 with probability (1 - 0.8 ** 6) ** 64 < 4e-9.
 
-Links are confirmed on the sets themselves, of words, not of hashes. Documents with equal sets are one class and represented
-by one of them. Within a bucket not all pairs are formed: pivots are compared to those members that are not yet in the pivot's
+Hashes only lead to candidates. Sets are counted and compared as words: where two shingles of a document have one hash, their words
+are compared; documents with equal hashes of all shingles are one class, represented by one of them, after each has been compared
+with it (one that differs is a class of its own); links are confirmed on the sets. Within a bucket not all pairs are formed: pivots are compared to those members that are not yet in the pivot's
 component. A compared pivot is done, and the number of pivots grows by PIVOTS with each round, until each bucket is one component or all
 its members but those of one component have been pivots; so each candidate pair of different components is verified, and no link is lost to a cap. Pairs that
 cannot be links are left out by exact bounds: a set has no more in common with another than with all other candidates together, and
@@ -16,12 +17,14 @@ two sets that were compared with the same third share what both share with it, o
 
 Cases: a null text and one without words have the empty set and are linked with nothing; a text of fewer words than a shingle
 has one element, the whole sequence; a null id sorts after all others; rows with the same id are different documents, of which
-``kept_row`` marks one for each component; an empty table gives no rows; other columns pass through if asked for.
+``kept_row`` marks one for each component; an empty table gives no rows; other columns pass through if asked for, but one of an
+output's name gives way to it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logstrata.llm.common import binary, configure, materialise, raw, slices
+from logstrata.llm.common import SLICE_BYTES, binary, carried, configure, materialise, neutral, slices
 
 BANDS, ROWS = 64, 6
 BINS = BANDS * ROWS
@@ -42,13 +45,14 @@ PROBES = 3
 ROUNDS = 60
 #: Parts of a text by which it is told where two sets agree with a third.
 PARTS = 64
+#: Members of a bucket that are dealt out together: larger buckets lie in several parts, so no task gets a whole large one.
+SHARE = 256
+#: Distinct words a worker keeps from one slice of texts to the next.
+WORDS_KEPT = 400_000
 
 _U = np.uint64
-_BASE, _INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 _STEP = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
-#: Bytes a space may be: they end words.
-_BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,56 +62,72 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, kept for the longest text met."""
-    if len(_POWERS[0]) < n:
-        with np.errstate(over="ignore"):
-            for k, b in enumerate((_BASE, _INVERSE)):
-                _POWERS[k] = np.concatenate([[_U(1)], np.cumprod(np.full(n - 1, b, np.uint64), dtype=np.uint64)])
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
-def shingle_hashes(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of the shingles of a slice of texts, distinct within a document and sorted."""
-    data, at = raw(texts)
-    base = int(at[0])
-    data = _LOWER[data[base : int(at[-1])]]
-    at = at - base
-    blank = _BLANK[data]
-    begins = ~blank
-    begins[1:] &= blank[:-1]
-    firsts = at[:-1][at[:-1] < at[1:]]
-    begins[firsts] = ~blank[firsts]  # a text begins a word even if the one before ends without a space
-    ends = ~blank
-    ends[:-1] &= blank[1:]
-    lasts = at[1:][at[:-1] < at[1:]] - 1
-    ends[lasts] = ~blank[lasts]
-    start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+class Words(dict):
+    """Numbers of words, given as they are met, and a hash for each number."""
+
+    def __init__(self, bits: int = 64) -> None:
+        super().__init__()
+        self.bits = bits
+        self.hashes = np.zeros(1 << 12, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        if n == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        self.hashes[n] = word_hash(word) >> (64 - self.bits)
+        return n
+
+    def numbers(self, data: bytes) -> np.ndarray:
+        """The numbers of a text's words. Long texts are taken in stretches that end with a word."""
+        if len(data) <= SLICE_BYTES:
+            words = data.lower().split()  # of bytes: only A-Z change, only ASCII blanks divide
+            return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        parts, at = [], 0
+        while at < len(data):
+            blank = _BLANK.search(data, at + SLICE_BYTES // 2)
+            end = blank.start() if blank else len(data)
+            words = data[at:end].lower().split()
+            parts.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+            at = end
+        return np.concatenate(parts)
+
+
+def word_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"shingle").digest(), "little")
+
+
+def shingle_hashes(texts: pa.Array, size: int, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of each distinct shingle of a slice of texts, sorted. Shingles of one hash are told apart by their words."""
+    if len(words) > WORDS_KEPT:
+        words.clear()
+    own = [words.numbers(t.as_py()) for t in texts]
+    counts = np.array([len(w) for w in own], np.int64)
+    word = np.concatenate(own) if own else np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(own)), counts)
+    place = np.arange(len(word)) - np.repeat(np.cumsum(counts) - counts, counts)  # of the word in its document
+    lead = np.flatnonzero((place + size <= counts[doc]) | (place == 0))
+    owner, length = doc[lead], np.minimum(size, counts[doc[lead]])
+    h = np.zeros(len(lead), np.uint64)
     with np.errstate(over="ignore"):
-        power, inverse = _powers(len(data) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + _U(1)) * power[: len(data)], dtype=np.uint64)])
-        word = _mix((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64) * _U(_STEP[0]))
-        doc = np.searchsorted(at, start, side="right") - 1
-        counts = np.bincount(doc, minlength=len(texts))
-        first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        place = np.arange(len(word)) - first[doc]  # of the word in its document
-        lead = np.flatnonzero((place + size <= counts[doc]) | (place == 0))
-        h = np.zeros(len(lead), np.uint64)
-        length = np.minimum(size, counts[doc[lead]])
         for k in range(size):
-            inside = k < length
-            h[inside] = _mix(h[inside] * _U(_STEP[k % 4]) + word[lead[inside] + k] + _U(k + 1))
-    owner = doc[lead]
+            inside = slice(None) if k == 0 or not len(length) or int(length.min()) > k else k < length
+            h[inside] = _mix(h[inside] * _U(_STEP[k % 4]) + words.hashes[word[lead[inside] + k]] + _U(k + 1))
     order = np.lexsort((h, owner))
-    owner, h = owner[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    return owner[new], h[new]
+    o, x, at, n = owner[order], h[order], lead[order], length[order]
+    new = np.ones(len(o), bool)
+    new[1:] = (x[1:] != x[:-1]) | (o[1:] != o[:-1])
+    again = np.flatnonzero(~new)
+    differ = np.zeros(len(again), bool)
+    for k in range(size):
+        differ |= (k < n[again]) & (word[np.minimum(at[again] + k, len(word) - 1)] != word[np.minimum(at[again - 1] + k, len(word) - 1)])
+    if differ.any():  # one hash for several shingles: sorted by their words too
+        keys = [np.where(k < length, word[np.minimum(lead + k, len(word) - 1)], -1) for k in range(size)]
+        order = np.lexsort((*keys, h, owner))
+        o, x, at = owner[order], h[order], lead[order]
+        new[1:] = (x[1:] != x[:-1]) | (o[1:] != o[:-1])
+        for key in keys:
+            new[1:] |= key[order][1:] != key[order][:-1]
+    return o[new], x[new]
 
 
 def sketches(owner: np.ndarray, h: np.ndarray, n: int, bins: int = BINS) -> np.ndarray:
@@ -148,7 +168,7 @@ def bands_of(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def shingle_set(data: bytes, size: int) -> set[tuple[bytes, ...]]:
-    words = data.lower().split()  # of bytes: only A-Z change, only ASCII blanks divide
+    words = data.lower().split()
     if len(words) <= size:
         return {tuple(words)} if words else set()
     return set(zip(*(words[k:] for k in range(size)), strict=False))
@@ -165,16 +185,17 @@ def _parted(data: bytes, size: int) -> dict[tuple[bytes, ...], int]:
     return out
 
 
-def _profile(docs: DataFrame, text: str, carry: list[str], size: int) -> DataFrame:
-    """Rows with carry columns, __n (size of the set), __key (a digest of the set) and __bands."""
+def _profile(docs: DataFrame, size: int, bits: int) -> DataFrame:
+    """The rows with __n (size of the set), __key (a digest of the set's hashes) and __bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(bits)
         for batch in batches:
             texts = binary(batch.column("__text"))
             sizes, keys, bands = [], [], []
             for start, stop in slices(texts):
                 n = stop - start
-                owner, h = shingle_hashes(texts.slice(start, n), size)
+                owner, h = shingle_hashes(texts.slice(start, n), size, words)
                 counts = np.bincount(owner, minlength=n)
                 edges = np.concatenate([[0], np.cumsum(counts)])
                 for i in range(n):
@@ -188,17 +209,44 @@ def _profile(docs: DataFrame, text: str, carry: list[str], size: int) -> DataFra
                 own = bands_of(sketches(rank[owner[stay]], h[stay], int(chosen.sum())))
                 sizes += counts.tolist()
                 bands += [own[rank[l]] if counts[i] else None for i, l in enumerate(lead)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*carry, "__text"]), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=[*carry, "__text", "__n", "__key", "__bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=[*batch.schema.names, "__n", "__key", "__bands"])
 
-    carry = [c for c in carry if c != text]
-    sent = docs.select(*carry, F.col(text).alias("__text"))
     added = [T.StructField("__n", T.LongType()), T.StructField("__key", T.BinaryType()), T.StructField("__bands", T.ArrayType(T.LongType()))]
-    return sent.mapInArrow(run, T.StructType([*sent.schema.fields, *added])).withColumn("__row", F.monotonically_increasing_id())
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added])).withColumn("__row", F.monotonically_increasing_id())
+
+
+def _unlike(rows: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+    """(row) of the members of a class whose set is not that of the class's first row, by their words: none, as a rule."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple[int | None, list, set] = (None, [], set())
+        for batch in batches:
+            head, row, found = batch.column("head").to_pylist(), batch.column("row").to_pylist(), []
+            for i, (x, y) in enumerate(zip(binary(batch.column("x")), binary(batch.column("y")), strict=True)):
+                if known[0] != head[i]:  # rows come sorted by class
+                    data = x.as_py()
+                    known = (head[i], data.lower().split(), shingle_set(data, size))
+                data = y.as_py()
+                if data.lower().split() != known[1] and shingle_set(data, size) != known[2]:
+                    found.append(row[i])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["row"])
+
+    several = sets.filter("copies > 1").select(F.col("__key").alias("k"), F.col("first.row").alias("head"))
+    heads = rows.select("__row", F.col("__text").alias("x")).join(several, F.col("__row") == F.col("head")).drop("__row")
+    members = rows.select("__key", F.col("__row").alias("row"), F.col("__text").alias("y"))
+    # A sort-merge join of tables: adaptive execution splits a class that very many rows share.
+    both = members.join(heads, (F.col("__key") == F.col("k")) & (F.col("row") != F.col("head")))
+    return both.select("head", "row", "x", "y").mapInArrow(run, "row long")
+
+
+def _spread(small: DataFrame) -> DataFrame:
+    """A row of each bucket, once for each of its parts."""
+    return small.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of representatives, whether they are a link, and how many elements of each part of a's text b has too."""
-    schema = "a long, b long, linked boolean, parts array<int>"
+    """Pairs (a, b) of representatives, whether they are a link, and how many elements of each part of a's text b has too (shares)."""
+    schema = "a long, b long, linked boolean, shares array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[int | None, dict] = (None, {})
@@ -213,7 +261,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                 common = len(both)
                 parts.append(np.bincount([one[x] for x in both], minlength=PARTS) if common else np.zeros(PARTS, np.int64))
                 linked.append(100 * common >= percent * (len(one) + len(other) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(parts, pa.list_(pa.int32()))], names=["a", "b", "linked", "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(parts, pa.list_(pa.int32()))], names=["a", "b", "linked", "shares"])
 
     own = texts.select(F.col("__row").alias("b"), F.col("__text").alias("tb"))
     other = texts.select(F.col("__row").alias("a"), F.col("__text").alias("ta"))
@@ -245,17 +293,18 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
 
 
-def _alone(texts: DataFrame, size: int) -> DataFrame:
+def _alone(texts: DataFrame, size: int, bits: int) -> DataFrame:
     """(node, u): how many of a candidate's shingles no other candidate has; those with none are left out.
 
-    Shingles count by 64-bit hashes here: two that collide only look shared, so u is never too great.
+    Shingles count by their hashes here: two that collide only look shared, so u is never too great.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(bits)
         for batch in batches:
             data, nodes = binary(batch.column("__text")), batch.column("__row").to_numpy()
             for start, stop in slices(data):
-                owner, h = shingle_hashes(data.slice(start, stop - start), size)
+                owner, h = shingle_hashes(data.slice(start, stop - start), size, words)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[start:stop][owner]), pa.array(h.view(np.int64))], names=["node", "h"])
 
     owners = texts.mapInArrow(run, "node long, h long").groupBy("h").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("c"))
@@ -269,24 +318,24 @@ def _can_link(percent: int) -> Column:
     share lies in one of its parts, of which each set has so many elements, or beyond it and is common to somebody.
     """
     enough = lambda most: F.lit(100 + percent) * most >= F.lit(percent) * (F.col("n") + F.col("pn"))
-    total = lambda parts: F.aggregate(parts, F.lit(0).cast("long"), lambda x, y: x + y)
-    within = total(F.zip_with("parts", "pparts", lambda x, y: F.least(x, y)))
-    beyond = F.least(F.col("s") - total(F.col("parts")), F.col("ps") - total(F.col("pparts")))
-    known = (F.col("ref") == F.col("pref")) & F.col("parts").isNotNull() & F.col("pparts").isNotNull()
+    total = lambda shares: F.aggregate(shares, F.lit(0).cast("long"), lambda x, y: x + y)
+    within = total(F.zip_with("shares", "pshares", lambda x, y: F.least(x, y)))
+    beyond = F.least(F.col("s") - total(F.col("shares")), F.col("ps") - total(F.col("pshares")))
+    known = (F.col("ref") == F.col("pref")) & F.col("shares").isNotNull() & F.col("pshares").isNotNull()
     return enough(F.least("s", "ps")) & F.when(known, enough(within + beyond)).otherwise(True)
 
 
 def _open(members: DataFrame, percent: int) -> DataFrame:
-    """Members (bucket, node, n, s, ref, parts, root) that may still have a link to another component in their bucket.
+    """Members (bucket, parts, part, node, n, s, ref, shares, root) that may still have a link to another component in their bucket.
 
     A member's partner can have no more elements than it shares with anybody, so it goes if the bucket's least set has more; and a
     bucket goes if one component is left.
     """
-    sizes = members.groupBy("bucket").agg(F.min("n").alias("least"))
+    sizes = _spread(members.groupBy("bucket").agg(F.min("n").alias("least"), F.max("parts").alias("parts")))
     fits = F.lit(percent) * F.col("least") <= F.lit(100 + percent) * F.col("s") - F.lit(percent) * F.col("n")
-    left = members.join(sizes, "bucket").filter(fits).drop("least")
-    several = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    return left.join(several, "bucket")
+    left = members.join(sizes, ["bucket", "part"]).filter(fits).drop("least")
+    several = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("parts").alias("parts")).filter("lo <> hi")
+    return left.join(_spread(several.select("bucket", "parts")), ["bucket", "part"])
 
 
 def _pivots(of: DataFrame, done: DataFrame | None, rank: Column, most: int) -> DataFrame:
@@ -294,37 +343,42 @@ def _pivots(of: DataFrame, done: DataFrame | None, rank: Column, most: int) -> D
 
     Members of a bucket's greatest component need not be pivots: each pair of two components has a member of another one.
     """
-    counts = of.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("most"))
-    free = of.join(counts, "bucket").filter(F.col("root") != F.col("most.root")).drop("most")
+    counts = of.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"), F.max("parts").alias("parts"))
+    counts = _spread(counts.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("most"), F.max("parts").alias("parts")))
+    free = of.join(counts, ["bucket", "part"]).filter(F.col("root") != F.col("most.root")).drop("most")
     free = free.join(done, ["bucket", "node"], "left_anti") if done is not None else free
     place = F.row_number().over(Window.partitionBy("bucket").orderBy(rank))
     chosen = free.withColumn("place", place).filter(F.col("place") <= most)
-    chosen = chosen.select("bucket", rank.alias("p"))
-    return materialise(chosen.select("bucket", "p", *(f"p.{c}" for c in ("pn", "ps", "pref", "pparts", "pr"))), "pivots")
+    chosen = chosen.select("bucket", "parts", rank.alias("p"))
+    return materialise(chosen.select("bucket", "parts", "p", *(f"p.{c}" for c in ("pn", "ps", "pref", "pshares", "pr"))), "pivots")
 
 
-def links(profile: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame | None:
+def links(profile: DataFrame, classes: DataFrame, size: int, percent: int, bits: int = 64) -> DataFrame | None:
     """Components (node, root) of the representatives' links; None where there are no candidates at all."""
     shared = classes.select("__row", "__n", F.explode("__bands").alias("bucket"))
-    several = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket")
-    members = materialise(shared.join(several, "bucket").select("bucket", F.col("__row").alias("node"), F.col("__n").alias("n")), "members")
+    parts = F.floor((F.col("c") - 1) / SHARE).cast("int") + 1
+    several = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket", parts.alias("parts"))
+    part = F.pmod(F.xxhash64("__row"), F.col("parts")).cast("int")
+    members = materialise(shared.join(several, "bucket").select("bucket", "parts", part.alias("part"), F.col("__row").alias("node"), F.col("__n").alias("n")), "members")
+    if members.isEmpty():
+        return None
     # The texts of candidates alone: all that verification moves from here on.
     texts = materialise(profile.select("__row", "__text").join(members.select(F.col("node").alias("__row")).distinct(), "__row", "left_semi"), "texts")
-    alone = materialise(_alone(texts, size), "alone")
+    alone = materialise(_alone(texts, size, bits), "alone")
     s = (F.col("n") - F.coalesce("u", F.lit(0))).alias("s")
-    members = members.join(alone, "node", "left").select("bucket", "node", "n", s).filter(F.lit(100) * F.col("s") >= F.lit(percent) * F.col("n"))
-    itself = [F.col("node").alias("ref"), F.lit(None).cast("array<int>").alias("parts"), F.col("node").alias("root")]
+    members = members.join(alone, "node", "left").select("bucket", "parts", "part", "node", "n", s).filter(F.lit(100) * F.col("s") >= F.lit(percent) * F.col("n"))
+    itself = [F.col("node").alias("ref"), F.lit(None).cast("array<int>").alias("shares"), F.col("node").alias("root")]
     of = materialise(_open(members.select("*", *itself), percent), "open")
     # Central are members with the least share of shingles that only they have.
     far = ((F.col("n") - F.col("s")) * 1_000_000 / F.col("n")).cast("long").alias("far")
-    rank = F.struct(far, "node", F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("ref").alias("pref"), F.col("parts").alias("pparts"), F.col("root").alias("pr"))
+    rank = F.struct(far, "node", F.col("n").alias("pn"), F.col("s").alias("ps"), F.col("ref").alias("pref"), F.col("shares").alias("pshares"), F.col("root").alias("pr"))
     tried, found, labels, done, pivots, probe = None, None, None, None, PIVOTS, 0
     while True:
         if probe < PROBES:
             # Probes: each document is compared with one new partner, the most central that leads a bucket of its own.
-            central = of.groupBy("bucket").agg(F.min(rank).alias("p")).select("bucket", "p", *(f"p.{c}" for c in ("pn", "ps", "pref", "pparts", "pr")))
+            central = _spread(of.groupBy("bucket").agg(F.min(rank).alias("p"), F.max("parts").alias("parts")).select("bucket", "parts", "p", *(f"p.{c}" for c in ("pn", "ps", "pref", "pshares", "pr"))))
             fits = (F.col("p.node") != F.col("node")) & (F.col("root") != F.col("pr")) & _can_link(percent)
-            options = of.join(central, "bucket").filter(fits).select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b"), "node", F.struct("p.far", "p.node").alias("p")).distinct()
+            options = of.join(central, ["bucket", "part"]).filter(fits).select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b"), "node", F.struct("p.far", "p.node").alias("p")).distinct()
             options = options.join(tried, ["a", "b"], "left_anti") if tried is not None else options
             pairs = options.groupBy("node").agg(F.min("p").alias("o")).select(F.col("o.node").alias("a"), F.col("node").alias("b"))
             probe += 1
@@ -333,7 +387,7 @@ def links(profile: DataFrame, classes: DataFrame, size: int, percent: int) -> Da
             if not chosen.limit(1).count():
                 return labels
             fits = (F.col("p.node") != F.col("node")) & (F.col("root") != F.col("pr")) & _can_link(percent)
-            pairs = of.join(chosen, "bucket").filter(fits).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+            pairs = of.join(_spread(chosen), ["bucket", "part"]).filter(fits).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
             pairs = pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
             turn = chosen.select("bucket", F.col("p.node").alias("node"))
             done = turn if done is None else done.union(turn)
@@ -345,8 +399,8 @@ def links(profile: DataFrame, classes: DataFrame, size: int, percent: int) -> Da
         verified = materialise(_verify(pairs, texts, size, percent), "links")
         if tried is None:
             # What sets have been compared with is their first probe's partner.
-            refs = verified.select(F.col("b").alias("node"), F.col("a").alias("r"), F.col("parts").alias("q"))
-            of = of.drop("parts").join(refs, "node", "left").withColumns({"ref": F.coalesce("r", "ref"), "parts": F.col("q")}).drop("r", "q")
+            refs = verified.select(F.col("b").alias("node"), F.col("a").alias("r"), F.col("shares").alias("q"))
+            of = of.drop("shares").join(refs, "node", "left").withColumns({"ref": F.coalesce("r", "ref"), "shares": F.col("q")}).drop("r", "q")
             of = materialise(of, "open")
         sides = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         tried = sides if tried is None else tried.union(sides)
@@ -357,17 +411,30 @@ def links(profile: DataFrame, classes: DataFrame, size: int, percent: int) -> Da
             of = materialise(_open(of.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")), percent), "open")
 
 
-def near_dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id", size: int = 5, percent: int = 80, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+OUTPUTS = ("n_shingles", "class_id", "component_id", "kept", "kept_row")
+
+
+def near_dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id", size: int = 5, percent: int = 80, carry: Sequence[str] = ("doc_id",), bits: int = 64) -> DataFrame:
     """The columns ``carry`` of every row with n_shingles, class_id and component_id (least ids of the class of equal sets and
-    of the component), kept (the id is the component's) and kept_row (this very row represents the component)."""
+    of the component), kept (the id is the component's) and kept_row (this very row represents the component). ``bits`` is the width
+    of the words' hashes, which changes no result."""
     configure(docs.sparkSession)
-    carry = list(dict.fromkeys([*carry, id_column]))
-    rows = materialise(_profile(docs, text, carry, size), "profile")
-    order = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("__row").alias("row"))
-    sets = materialise(rows.filter("__n > 0").groupBy("__key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
+    sent, passed = neutral(docs, carried(carry, OUTPUTS), __text=text, __id=id_column)
+    rows = materialise(_profile(sent, size, bits), "profile")
+    order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
+
+    def classed(rows: DataFrame) -> DataFrame:
+        return materialise(rows.filter("__n > 0").groupBy("__key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
+
+    sets = classed(rows)
+    unlike = materialise(_unlike(rows, sets, size), "unlike")
+    if not unlike.isEmpty():  # equal hashes of different sets: these rows become classes of their own
+        apart = F.when(F.col("row").isNotNull(), F.concat("__key", F.encode(F.col("__row").cast("string"), "UTF-8"))).otherwise(F.col("__key"))
+        rows = materialise(rows.join(unlike, rows["__row"] == unlike["row"], "left").withColumn("__key", apart).drop("row"), "profile")
+        sets = classed(rows)
     heads = sets.select(F.col("first.row").alias("__row"))
     classes = materialise(rows.select("__row", "__n", "__bands").join(heads, "__row"), "bands")
-    labels = links(rows, classes, size, percent)
+    labels = links(rows, classes, size, percent, bits)
     by_class = sets.select(F.col("__key").alias("__of"), "first", "copies")
     if labels is None:
         by_class = by_class.withColumn("top", F.col("first"))
@@ -379,12 +446,12 @@ def near_dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id", s
     by_class = materialise(by_class.select("__of", "first", "top"), "tops")
     joined = rows.drop("__bands").join(by_class, rows["__key"] == by_class["__of"], "left")
     empty = F.col("__of").isNull()
-    top = F.when(empty, F.col(id_column)).otherwise(F.col("top.id"))
+    top = F.when(empty, F.col("__id")).otherwise(F.col("top.id"))
     return joined.select(
-        *(F.col("__text").alias(text) if c == text else c for c in carry),
+        *passed,
         F.col("__n").alias("n_shingles"),
-        F.when(empty, F.col(id_column)).otherwise(F.col("first.id")).alias("class_id"),
+        F.when(empty, F.col("__id")).otherwise(F.col("first.id")).alias("class_id"),
         top.alias("component_id"),
-        F.col(id_column).eqNullSafe(top).alias("kept"),
+        F.col("__id").eqNullSafe(top).alias("kept"),
         (empty | (F.col("top.row") == F.col("__row"))).alias("kept_row"),
     )

@@ -31,7 +31,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("matches")
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits", "items")
 
 
 #: Of the rows' folds by crc32 of the id, the one that is held out, for languages and for the language model.
@@ -111,5 +111,17 @@ FROM d LEFT JOIN marks USING (rid) LEFT JOIN owners USING (rid)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER (g ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 WINDOW g AS (PARTITION BY t)
+""",
+    "op10_minhash": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array({_LOWER.format("text")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT rid, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                       ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS g FROM d),
+e AS MATERIALIZED (SELECT rid, len(g) AS n, unnest(g) AS k FROM s),
+links AS MATERIALIZED (SELECT a.rid AS x, b.rid AS y FROM e AS a JOIN e AS b ON a.k = b.k AND a.rid <> b.rid AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+                       GROUP BY a.rid, b.rid, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(x, r) AS (SELECT rid, rid FROM s UNION SELECT y, r FROM reach JOIN links USING (x)),
+least_id AS (SELECT r AS rid, min(s.doc_id) AS component_id FROM reach JOIN s ON s.rid = reach.x GROUP BY r)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, CASE WHEN len(g) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY g) END AS class_id, component_id, doc_id = component_id AS kept
+FROM s JOIN least_id USING (rid)
 """,
 }
