@@ -1,7 +1,8 @@
 """SentencePiece encoding with original byte spans, and decoding.
 
-A text is normalised by longest prefixes of the model's compiled character map, recording for every normalised byte the
-source byte it stems from; the vocabulary's pieces then are projected back to byte spans of the original text.
+Every text is normalised here, by longest prefixes of the model's compiled character map, recording for every normalised byte the
+source byte it stems from. The normalised text, and nothing else, is cut into the vocabulary's pieces by the library, with a copy of the
+model that normalises no more; each piece is projected through the record to its byte span of the original text.
 
 Cases: a null text counts as empty; an empty text has no ids and decodes to ''. Rows are treated one by one, so repeated rows,
 ties and an empty table need no rule; other columns pass through, and an output column replaces an input column of that name.
@@ -74,7 +75,7 @@ class Normaliser:
     def __call__(self, data: bytes) -> tuple[bytes, np.ndarray]:
         if not data:
             return b"", np.zeros(1, np.int32)
-        if self.plain:
+        if self.plain:  # an empty map: no key is a prefix of anything, so each byte stands for itself and spaces are written wider
             width = np.where(np.frombuffer(data, np.uint8) == 32, len(self.space), 1)
             align = np.repeat(np.arange(len(data), dtype=np.int32), width)
             head = self.space if self.prefix else b""
@@ -127,75 +128,67 @@ class Codec:
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
         self.normalise = Normaliser(proto.normalizer_spec)
+        self.space = self.normalise.space.decode()
+        bare = sentencepiece_model_pb2.ModelProto()
+        bare.CopyFrom(proto)
+        bare.normalizer_spec.precompiled_charsmap = b""
+        bare.normalizer_spec.add_dummy_prefix = bare.normalizer_spec.remove_extra_whitespaces = bare.normalizer_spec.escape_whitespaces = False
+        self.segmenter = sentencepiece.SentencePieceProcessor(model_proto=bare.SerializeToString())
         kinds = np.array([p.type for p in proto.pieces])
         self.width = np.array([1 if p.type == BYTE else len(p.piece.encode()) for p in proto.pieces], np.int64)
         self.bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() for p in proto.pieces]
-        self.kept = np.array([len(b) for b in self.bytes], np.int32)
         self.special = set(np.flatnonzero((kinds != NORMAL) & (kinds != BYTE)).tolist())
         merged = [p.piece for p in proto.pieces if p.type == NORMAL]
         # Merges stay within a unit (spaces and what follows up to the next space or line feed) if no piece reaches across one.
         self.by_unit = (
-            proto.trainer_spec.model_type == 2 and self.normalise.plain and self.normalise.prefix and proto.trainer_spec.byte_fallback
+            proto.trainer_spec.model_type == 2 and proto.trainer_spec.byte_fallback and self.space == SPACE
             and not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in merged) and not any(p.type == USER for p in proto.pieces)
         )
         self.units: dict[str, tuple[bytes, str]] = {}
-        self.pattern = re.compile(" *[^ \n]+| +|\n")
-        self.newline = self.processor.encode("\n")
-
-    def _learn(self, units: set[str]) -> dict[str, tuple[bytes, str]]:
-        """Ids of units, packed and as text. The library puts one space before what it is given."""
-        led, bare = [u for u in units if u[0] == " "], [u for u in units if u[0] != " "]
-        skip = len(self.newline)
-        ids = self.processor.encode([u[1:] or "\n" for u in led], num_threads=1)
-        ids = [i if u != " " else [self.processor.piece_to_id(SPACE)] for u, i in zip(led, ids, strict=True)]
-        ids += [i[skip:] if u != "\n" else i[1:skip] for u, i in zip(bare, self.processor.encode(["\n" + u if u != "\n" else u for u in bare], num_threads=1), strict=True)]
-        found = {u: (np.array(i, np.int32).tobytes(), ",".join(map(str, i))) for u, i in zip(led + bare, ids, strict=True)}
+        self.pattern = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+
+    def _learn(self, units: list[str]) -> dict[str, tuple[bytes, str]]:
+        """Ids of units, packed and as text."""
+        found = {u: (np.array(i, np.int32).tobytes(), ",".join(map(str, i))) for u, i in zip(units, self.segmenter.encode(units, num_threads=1), strict=True)}
         if len(self.units) >= CACHED_UNITS:
             self.units.clear()
         self.units |= {u: f for u, f in found.items() if len(u) <= CACHED_CHARS} if max(map(len, units)) > CACHED_CHARS else found
         return found
 
-    def ids(self, text: str) -> tuple[np.ndarray, str]:
-        """Ids of a text as the library encodes it, and as decimal numbers joined by commas."""
-        if not text:
+    def ids(self, normal: bytes) -> tuple[np.ndarray, str]:
+        """Ids of a normalised text, and these as decimal numbers joined by commas."""
+        if not normal:
             return np.zeros(0, np.int32), ""
-        if not self.by_unit or SPACE in text or "\0" in text:
-            ids = self.processor.encode(text)
+        text = normal.decode()
+        if not self.by_unit or "\0" in text:
+            ids = self.segmenter.encode(text)
             return np.array(ids, np.int32), ",".join(map(str, ids))
-        units = self.pattern.findall(" " + text)
+        units = self.pattern.findall(text)
         found = list(map(self.units.get, units))
         if None in found:
-            new = self._learn({u for u, f in zip(units, found, strict=True) if f is None})
+            new = self._learn(list({u for u, f in zip(units, found, strict=True) if f is None}))
             found = [f or new[u] for u, f in zip(units, found, strict=True)]
         return np.frombuffer(b"".join([f[0] for f in found]), np.int32), ",".join([f[1] for f in found])
 
-    def spans(self, data: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and end of every piece in the bytes of the original text."""
-        if self.by_unit and SPACE.encode() not in data:
-            return self._plain_spans(ids)
+    def encode(self, data: bytes) -> tuple[np.ndarray, str, np.ndarray, np.ndarray]:
+        """Ids, these as text, and begin and end of every piece in the bytes of the original text."""
         normal, align = self.normalise(data)
+        ids, numbers = self.ids(normal)
         ends = np.cumsum(self.width[ids])
         if len(ids) and (ends[-1] != len(normal) or (self.special and not self.special.isdisjoint(ids.tolist()))):
-            ends = np.cumsum([len(p.surface.encode()) if i in self.special else self.width[i] for i, p in self._surfaces(data, ids)])
+            ends = np.cumsum([len(p.surface.encode()) if i in self.special else self.width[i] for i, p in self._surfaces(normal, ids)])
         starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])[: len(ids)]
-        return align[starts], align[ends]
-
-    def _plain_spans(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """An empty character map keeps every byte, but the space put before the text: its alignment is a shift by one."""
-        edges = np.zeros(len(ids) + 1, np.int32)
-        np.cumsum(self.kept[ids], out=edges[1:])
-        edges[1:] -= 1
-        return edges[:-1], edges[1:]
+        return ids, numbers, align[starts], align[ends]
 
-    def _surfaces(self, data: bytes, ids: np.ndarray):
+    def _surfaces(self, normal: bytes, ids: np.ndarray):
         """Pieces with their surfaces, for unknown pieces, whose length the vocabulary does not tell."""
-        return zip(ids.tolist(), self.processor.encode(data.decode(), out_type="immutable_proto").pieces, strict=True)
+        return zip(ids.tolist(), self.segmenter.encode(normal.decode(), out_type="immutable_proto").pieces, strict=True)
 
     def decode(self, ids: np.ndarray) -> str:
         values = ids.tolist()
         if not values:
             return ""
-        if self.special.isdisjoint(values) and self.normalise.prefix:
+        if self.special.isdisjoint(values) and self.normalise.prefix and not self.normalise.squeeze:
             data = b"".join(map(self.bytes.__getitem__, values))
             try:
                 return (data[1:] if data[:1] == b" " and values[0] in self.led else data).decode()
@@ -250,8 +243,8 @@ def encode(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
         for batch in batches:
             rows = []
             for value in batch.column(text).to_pylist():
-                ids, _ = own.ids(value or "")
-                rows.append((ids, *own.spans((value or "").encode(), ids)))
+                ids, _, begins, ends = own.encode((value or "").encode())
+                rows.append((ids, begins, ends))
             yield _put(batch, **{n: pa.array([r[i] for r in rows], pa.list_(pa.int32())) for i, n in enumerate(("ids", "begins", "ends"))})
 
     ints = T.ArrayType(T.IntegerType())
@@ -286,8 +279,7 @@ def round_trip(df: DataFrame, model_path: str, text: str = "text", id_column: st
             for value in batch.column(text):
                 value = value.as_py() or ""
                 data = value.encode()
-                ids, numbers = own.ids(value)
-                begins, ends = own.spans(data, ids)
+                ids, numbers, begins, ends = own.encode(data)
                 decoded = own.decode(ids).encode()
                 rows.append((len(ids), sha(numbers.encode()).hexdigest(), sha(decoded).hexdigest(), int((ends - begins).sum()), decoded == data))
             yield pa.RecordBatch.from_arrays([batch.column(id_column), *(pa.array([r[i] for r in rows]) for i in range(5))], names=[id_column, *names])
