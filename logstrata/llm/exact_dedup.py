@@ -6,7 +6,8 @@ with more than one content gives each its own number. A text then is its ordered
 by these lists. Chunk bytes cross the network once, for the verification; only lists and ids do afterwards.
 
 Cases: a null text counts as empty, and all empty texts are equal; a null id sorts after all others; of rows that share the
-smallest id and the text exactly one is kept; an empty table gives no rows; other columns pass through if asked for.
+smallest id and the text exactly one is kept; an empty table gives no rows; other columns pass through if
+asked for, but one of an output's name gives way to it.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logstrata.llm.common import binary, configure, materialise, raw, slices
+from logstrata.llm.common import binary, carried, configure, materialise, neutral, raw, slices
 
 #: A cut has an expected distance of 2**CUT_BITS bytes, at least CUT_LEAST and at most CUT_MOST.
 CUT_BITS, CUT_LEAST, CUT_MOST = 11, 512, 16384
-#: Fingerprints with several contents that the driver holds; 64-bit fingerprints of 1e11 chunks have some hundreds.
-MOST_COLLISIONS = 100_000
+#: Chunks of shared fingerprints that the driver holds: 64 bits of 1e11 chunks are expected to have some hundreds. Where there are
+#: more, identifiers are made of one fingerprint more each, until there are not.
+MOST_COLLISIONS = 1000
 
 _GEAR = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 32, 256, dtype=np.uint32)
 _MASK = np.uint32(((1 << CUT_BITS) - 1) << (32 - CUT_BITS))
@@ -78,14 +80,14 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[bytes, list[bytes]]]:
         yield data, parts
 
 
-def _fingerprint(part: bytes, bits: int) -> int:
-    """Signed, of so many bits."""
-    value = xxhash.xxh3_64_intdigest(part) >> (64 - bits)
-    return value - (1 << 64) if value >> 63 else value
+def _fingerprint(part: bytes, bits: int, width: int) -> list[int]:
+    """As many fingerprints as ``width``, signed, of so many bits."""
+    values = [xxhash.xxh3_64_intdigest(part, seed) >> (64 - bits) for seed in range(width)]
+    return [v - (1 << 64) if v >> 63 else v for v in values]
 
 
-def collisions(docs: DataFrame, text: str, bits: int) -> dict[int, list[bytes]]:
-    """The fingerprints that stand for several contents, with those in order: none, as a rule."""
+def collisions(docs: DataFrame, bits: int, width: int) -> dict[tuple[int, ...], list[bytes]] | None:
+    """The fingerprints that stand for several contents, with those in order: none, as a rule. None if there are too many."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,59 +95,67 @@ def collisions(docs: DataFrame, text: str, bits: int) -> dict[int, list[bytes]]:
             for _, parts in _chunks(binary(batch.column(0))):
                 for part in parts:
                     seen.setdefault(part, 0)
-            yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(p, bits) for p in seen], pa.int64()), pa.array(list(seen), pa.binary())], names=["fingerprint", "chunk"])
+            yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(p, bits, width) for p in seen], pa.list_(pa.int64())), pa.array(list(seen), pa.binary())], names=["fingerprint", "chunk"])
 
-    chunks = docs.select(text).mapInArrow(explode, "fingerprint long, chunk binary")
+    chunks = docs.select("__text").mapInArrow(explode, "fingerprint array<long>, chunk binary")
     several = chunks.groupBy("fingerprint").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most")).filter("least <> most").select("fingerprint").limit(MOST_COLLISIONS + 1).collect()
     if not several:
         return {}
     if len(several) > MOST_COLLISIONS:
-        raise ValueError(f"more than {MOST_COLLISIONS} fingerprints of {bits} bits stand for several chunks")
-    rows = chunks.filter(F.col("fingerprint").isin([r.fingerprint for r in several])).distinct().collect()
-    found: dict[int, list[bytes]] = {}
+        return None
+    asked = docs.sparkSession.createDataFrame(several, "fingerprint array<long>")
+    rows = chunks.join(F.broadcast(asked), "fingerprint").distinct().limit(MOST_COLLISIONS + 1).collect()
+    if len(rows) > MOST_COLLISIONS:
+        return None
+    found: dict[tuple[int, ...], list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r.fingerprint, bytes(r.chunk))):
-        found.setdefault(r.fingerprint, []).append(bytes(r.chunk))
+        found.setdefault(tuple(r.fingerprint), []).append(bytes(r.chunk))
     return found
 
 
+OUTPUTS = ("keep_id", "group_size", "kept", "text_sha256", "n_chunks")
+
+
 def exact_dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id", carry: Sequence[str] = ("doc_id",), bits: int = 64) -> DataFrame:
     """The columns ``carry`` of every row, with keep_id, group_size, kept, text_sha256 and n_chunks."""
     configure(docs.sparkSession)
-    known = docs.sparkSession.sparkContext.broadcast(collisions(docs, text, bits))
-    carry = list(dict.fromkeys(carry))
-    columns = carry + [c for c in (text, id_column) if c not in carry]
-    sent = docs.select(*columns)
-    added = {"__recipe": T.ArrayType(T.LongType()), "__sha": T.StringType()}
-    schema = T.StructType([*(sent.schema[c] for c in carry), *([] if id_column in carry else [sent.schema[id_column]]), *(T.StructField(n, t) for n, t in added.items())])
-    kept = [f.name for f in schema if f.name not in added]
+    sent, passed = neutral(docs, carried(carry, OUTPUTS), __text=text, __id=id_column)
+    width = 1
+    while (found := collisions(sent, bits, width)) is None:
+        width += 1
+    known = docs.sparkSession.sparkContext.broadcast(found)  # at most MOST_COLLISIONS chunks
+    kept = [c for c in sent.columns if c != "__text" or text in carry]
+    added = {"__recipe": T.ArrayType(T.LongType()), "__chunks": T.IntegerType(), "__sha": T.StringType()}
+    schema = T.StructType([*(sent.schema[c] for c in kept), *(T.StructField(n, t) for n, t in added.items())])
 
     def recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several = known.value
         for batch in batches:
-            lists, digests = [], []
-            for data, parts in _chunks(binary(batch.column(text))):
+            lists, sizes, digests = [], [], []
+            for data, parts in _chunks(binary(batch.column("__text"))):
                 ids = []
                 for part in parts:
-                    fingerprint = _fingerprint(part, bits)
-                    ids.append(fingerprint)
+                    fingerprint = _fingerprint(part, bits, width)
+                    ids += fingerprint
                     if several:  # a number for each content, beside every fingerprint alike
-                        ids.append(several[fingerprint].index(part) if fingerprint in several else 0)
+                        ids.append(several[tuple(fingerprint)].index(part) if tuple(fingerprint) in several else 0)
                 lists.append(ids)
+                sizes.append(len(parts))
                 digests.append(hashlib.sha256(data).hexdigest())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lists, pa.list_(pa.int64())), pa.array(digests)], names=[*kept, *added])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lists, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(digests)], names=[*kept, *added])
 
     rows = materialise(sent.mapInArrow(recipes, schema).withColumn("__row", F.monotonically_increasing_id()), "recipes")
-    first = F.min(F.struct(F.col(id_column).isNull(), F.col(id_column), F.col("__row"))).alias("first")
-    groups = rows.groupBy("__recipe").agg(first, F.count(F.lit(1)).alias("size")).filter("size > 1")
-    groups = materialise(groups.select(F.col("__recipe").alias("__of"), F.col(f"first.{id_column}").alias("__keep"), F.col("first.__row").alias("__first"), "size"), "groups")
+    first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))).alias("first")
+    groups = rows.groupBy("__recipe").agg(first, F.count(F.lit(1)).alias("__size")).filter("__size > 1")
+    groups = materialise(groups.select(F.col("__recipe").alias("__of"), F.col("first.id").alias("__keep"), F.col("first.row").alias("__first"), "__size"), "groups")
     # Both sides come from tables: where a recipe is hot, adaptive execution splits its rows among tasks.
     joined = rows.join(groups, rows["__recipe"] == groups["__of"], "left")
-    alone = F.col("size").isNull()
+    alone = F.col("__size").isNull()
     return joined.select(
-        *carry,
-        F.when(alone, F.col(id_column)).otherwise(F.col("__keep")).alias("keep_id"),
-        F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
+        *passed,
+        F.when(alone, F.col("__id")).otherwise(F.col("__keep")).alias("keep_id"),
+        F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("__row") == F.col("__first"))).alias("kept"),
         F.col("__sha").alias("text_sha256"),
-        F.size("__recipe").alias("n_chunks"),
+        F.col("__chunks").alias("n_chunks"),
     )
