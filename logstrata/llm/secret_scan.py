@@ -13,6 +13,7 @@ table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +35,39 @@ MARGIN = 40.0
 #: About so many rows are the labelled samples, chosen by a hash of their text; the bound of the models' training.
 TRAIN_ROWS = 4000
 SMOOTH = 1.0
+#: Elements that one step of a running sum adds to an array, which copies it: sums of longer arrays go in two or three levels.
+CHUNK = 256
 _SCALE = 1000  # log ratios are whole thousandths, so sums do not depend on their order
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, zero: Column, op: Callable[[Column, Column], Column], kind: str = "int", levels: int = 3) -> Column:
+    """For each element of an array, ``op`` over all up to and with it. The work grows in proportion to the array for up to CHUNK ** levels
+    elements: chunks are summed up, their sums run over in the same way, and each chunk then starts from what lies before it."""
+
+    def plain(chunk: Column, base: Column) -> Column:
+        begin = F.struct(base.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        step = lambda acc, x: _let(op(acc["at"], x), lambda v: F.struct(v.alias("at"), F.concat(acc["out"], F.array(v)).alias("out")))
+        return F.aggregate(chunk, begin, step, lambda acc: acc["out"])
+
+    if levels == 1:
+        return plain(values, zero)
+
+    def chunked(chunks: Column) -> Column:
+        sums = running(F.transform(chunks, lambda c: F.aggregate(c, zero, op)), zero, op, kind, levels - 1)
+        return _let(sums, lambda before: F.flatten(F.transform(chunks, lambda c, j: plain(c, F.when(j == 0, zero).otherwise(F.element_at(before, F.greatest(j, F.lit(1))))))))
+
+    def whole(held: Column) -> Column:
+        cuts = F.sequence(F.lit(0), F.floor((F.size(held) - 1) / CHUNK).cast("int"))
+        return F.when(F.size(held) <= CHUNK, plain(held, zero)).otherwise(_let(F.transform(cuts, lambda j: F.slice(held, j * CHUNK + 1, F.lit(CHUNK))), chunked))
+
+    return _let(values, whole)
+
+
 def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
     """Array of (start, kind, end, value) of the pattern's matches: the pieces between matches give their places."""
     regex = F.lit(pattern)
@@ -44,18 +75,28 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0
     value = F.regexp_extract_all(text, regex, F.lit(group)) if group else found
     cells = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), value.alias("value"))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
-        whole = F.when(F.char_length(x["value"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), whole.alias("out"))
+    def placed(hits: Column) -> Column:
+        sizes = F.transform(hits, lambda x: F.char_length(x["gap"]) + F.char_length(x["hit"]))
+
+        def span(ends: Column) -> Column:
+            return F.transform(hits, lambda x, i: _let(F.element_at(ends, i + 1), lambda e: F.struct((e - F.char_length(x["hit"])).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), x["value"].alias("value"))))
+
+        return F.filter(_let(running(sizes, F.lit(0), lambda a, b: a + b), span), lambda s: F.char_length(s["value"]) >= least)
 
     # The last piece has no match after it.
-    walked = F.aggregate(F.filter(cells, lambda x: x["hit"].isNotNull()), zero, step, lambda acc: acc["out"])
-    return F.when(F.regexp(text, regex), walked).otherwise(empty)
+    return F.when(F.regexp(text, regex), _let(F.filter(cells, lambda x: x["hit"].isNotNull()), placed)).otherwise(empty)
+
+
+def _free(spans: Column) -> Column:
+    """Sorted spans without those of the models that overlap one of a pattern: these begin after all that end late, and end before
+    the next one begins."""
+    most = F.lit((1 << 31) - 1)
+    based = lambda s, value, other: F.when(s["kind"] < 3, value).otherwise(other)
+    reach = running(F.transform(spans, lambda s: based(s, s["end"], F.lit(0))), F.lit(0), lambda a, b: F.greatest(a, b))
+    after = F.reverse(running(F.reverse(F.transform(spans, lambda s: based(s, s["start"], most))), most, lambda a, b: F.least(a, b)))
+    clear = lambda r, a: F.filter(spans, lambda s, i: (s["kind"] < 3) | ((F.element_at(r, i + 1) <= s["start"]) & (F.element_at(a, i + 1) >= s["end"])))
+    return _let(reach, lambda r: _let(after, lambda a: clear(r, a)))
 
 
 def base_spans(text: Column) -> Column:
@@ -125,21 +166,21 @@ def scan(docs: DataFrame, ratios: list[int], text: str = "text", id_column: str
     rows = docs.select(F.col(id_column), F.coalesce(F.col(text), F.lit("")).alias("__t"))
     rows = rows.select(id_column, "__t", base_spans(F.col("__t")).alias("__base"))
     runs = _spans(F.col("__t"), RUN + "{%d,}" % RUN_LEAST, 3)
-    free = lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    random = F.filter(runs, lambda s: (score(s["value"], ratios) >= int(MARGIN * _SCALE)) & free(s))
+    random = F.filter(runs, lambda s: score(s["value"], ratios) >= int(MARGIN * _SCALE))
     rows = rows.select(id_column, "__base", random.alias("__more"))
+    both = F.when(F.size("__more") == 0, F.array_sort("__base")).otherwise(_let(F.array_sort(F.concat("__base", "__more")), _free))
+    rows = rows.select(id_column, "__base", both.alias("__both"))
 
     def said(spans: Column) -> Column:
         names = F.array(*map(F.lit, KINDS))
-        return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     count = lambda spans, k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
-    both = F.array_sort(F.concat("__base", "__more"))
     return rows.select(
         id_column,
         *(count(F.col("__base"), k).alias(f"n_{KINDS[k]}") for k in range(3)),
-        F.sha2(F.encode(said(F.col("__base")), "UTF-8"), 256).alias("base_sha256"),
-        said(both).alias("spans"),
-        count(F.col("__more"), 3).alias("n_markov"),
-        both.alias("found"),
+        F.sha2(F.encode(said(F.array_sort("__base")), "UTF-8"), 256).alias("base_sha256"),
+        said(F.col("__both")).alias("spans"),
+        count(F.col("__both"), 3).alias("n_markov"),
+        F.col("__both").alias("found"),
     )
