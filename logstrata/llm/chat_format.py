@@ -10,12 +10,13 @@ task, however many rows), and tasks then repair their stretches with the states
 repairs the one is taken that, from the first turn on, takes the least state in the order of ROLES, whatever the partitions.
 
 Cases: turns are ordered by turn, then role and text, nulls first; a null conversation id is a conversation; a null or unknown role
-must be relabelled, at a cost of its own; a null text is empty; repeated rows are turns of their own; an empty table gives no
-rows; other columns are not read.
+must be relabelled, at a cost of its own; a null text is empty; a control mark within a text is escaped, so that only the rendering
+makes turns; repeated rows are turns of their own; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -121,6 +122,19 @@ def role_of(name: str | None) -> int:
     return ROLES.index(name) if name in ROLES[1:] else 0
 
 
+_MARK = re.compile(r"<\|(\\*im_(?:start|end)\|>)")
+_ESCAPED = re.compile(r"<\|\\(\\*im_(?:start|end)\|>)")
+
+
+def escape(body: str) -> str:
+    """The text with a backslash more in what looks like a control mark; ``unescape`` takes it away."""
+    return _MARK.sub(r"<|\\\1", body)
+
+
+def unescape(body: str) -> str:
+    return _ESCAPED.sub(r"<|\1", body)
+
+
 def opening(role: int) -> str:
     return f"<|im_start|>{ROLES[role]}\n"
 
@@ -233,13 +247,13 @@ def format_chats(turns: DataFrame, costs: Costs = Costs(), conv: str = "conv_id"
                     count[2] += len(path)
                     count[3] += cost
                     if action == MERGE:
-                        out.append("\n" + body)
+                        out.append("\n" + escape(body))
                         continue
                     if state or first + i:
                         out.append(CLOSING)
                     for y in path:
                         out.append(opening(y) + CLOSING)
-                    out.append(opening(x) + body)
+                    out.append(opening(x) + escape(body))
                     state = x
                 if ends and i + BLOCK_TURNS >= len(roles):
                     cost, path = repair.ends[last]
