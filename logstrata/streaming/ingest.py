@@ -12,14 +12,12 @@ from logstrata.database import Database
 def stream_into(db: Database, name: str, stream: DataFrame, checkpoint: str, interval: float | None = None) -> StreamingQuery:
     """Appends every micro-batch of a stream to a table: the streaming counterpart of inserting and flushing at an interval.
 
-    A batch that is tried again after a failure is told by its number and appended once, as long as this database is open.
+    A batch's number is recorded in the catalog in the same step that makes its rows count, under the checkpoint's name; so a batch that
+    is tried again is appended once, also after a restart.
     """
-    seen: set[int] = set()
 
     def append(batch: DataFrame, number: int) -> None:
-        if number not in seen:
-            db.insert_frame(name, batch)
-            seen.add(number)
+        db.insert_frame(name, batch, (checkpoint.rstrip("/"), number))
 
     writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     if interval is None:
