@@ -25,10 +25,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,43 +65,43 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class Words(dict):
+class Words:
     """Numbers of words, given as they are met, and a hash for each number."""
 
     def __init__(self, bits: int = 64) -> None:
-        super().__init__()
         self.bits = bits
-        self.hashes = np.zeros(1 << 12, np.uint64)
+        self.clear()
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        if n == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-        self.hashes[n] = word_hash(word) >> (64 - self.bits)
-        return n
+    def clear(self) -> None:
+        self.known: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.hashes = np.zeros(0, np.uint64)
 
     def numbers(self, data: bytes) -> np.ndarray:
         """The numbers of a text's words. Long texts are taken in stretches that end with a word."""
         if len(data) <= SLICE_BYTES:
             words = data.lower().split()  # of bytes: only A-Z change, only ASCII blanks divide
-            return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+            return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         parts, at = [], 0
         while at < len(data):
             blank = _BLANK.search(data, at + SLICE_BYTES // 2)
             end = blank.start() if blank else len(data)
             words = data[at:end].lower().split()
-            parts.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+            parts.append(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
             at = end
         return np.concatenate(parts)
 
-
-def word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"shingle").digest(), "little")
+    def hashed(self, numbers: np.ndarray) -> np.ndarray:
+        """Hashes of words; their quality matters for speed alone, as sets are compared by words."""
+        new = len(self.known) - len(self.hashes)
+        if new:
+            own = np.fromiter(map(xxhash.xxh3_64_intdigest, islice(self.known, len(self.hashes), None)), np.uint64, new)
+            self.hashes = np.concatenate([self.hashes, own >> _U(64 - self.bits)])
+        return self.hashes[numbers]
 
 
 def shingle_hashes(texts: pa.Array, size: int, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of each distinct shingle of a slice of texts, sorted. Shingles of one hash are told apart by their words."""
-    if len(words) > WORDS_KEPT:
+    if len(words.known) > WORDS_KEPT:
         words.clear()
     own = [words.numbers(t.as_py()) for t in texts]
     counts = np.array([len(w) for w in own], np.int64)
@@ -107,11 +110,11 @@ def shingle_hashes(texts: pa.Array, size: int, words: Words) -> tuple[np.ndarray
     place = np.arange(len(word)) - np.repeat(np.cumsum(counts) - counts, counts)  # of the word in its document
     lead = np.flatnonzero((place + size <= counts[doc]) | (place == 0))
     owner, length = doc[lead], np.minimum(size, counts[doc[lead]])
-    h = np.zeros(len(lead), np.uint64)
+    h, hashes = np.zeros(len(lead), np.uint64), words.hashed(word)
     with np.errstate(over="ignore"):
         for k in range(size):
             inside = slice(None) if k == 0 or not len(length) or int(length.min()) > k else k < length
-            h[inside] = _mix(h[inside] * _U(_STEP[k % 4]) + words.hashes[word[lead[inside] + k]] + _U(k + 1))
+            h[inside] = _mix(h[inside] * _U(_STEP[k % 4]) + hashes[lead[inside] + k] + _U(k + 1))
     order = np.lexsort((h, owner))
     o, x, at, n = owner[order], h[order], lead[order], length[order]
     new = np.ones(len(o), bool)
@@ -135,23 +138,20 @@ def sketches(owner: np.ndarray, h: np.ndarray, n: int, bins: int = BINS) -> np.n
     out = np.full(n * bins, ~_U(0), np.uint64)
     sized = np.bincount(owner, minlength=n) > 0
     left = sized.copy()
-    a, who = h, owner
+    a, who, sizes = h, owner, np.bincount(owner, minlength=n)
     with np.errstate(over="ignore"):
         for i in range(2 * bins):
-            x = _mix(a + _U(0x9E3779B97F4A7C15) * _U(i + 1))
+            x = a * (_mix(np.uint64(i + 1)) | _U(1))  # elements are hashes already: a multiplier of each round's own deals them out anew
+            x = (x ^ (x >> _U(32))) * _U(_STEP[3])
             bin_ = (x >> _U(32)).astype(np.int64) * bins >> 32 if i < bins else np.full(len(x), i - bins)
             at = who * bins + bin_
             free = out[at] == ~_U(0) if i else slice(None)
             at, x = at[free], x[free]
-            value = np.minimum(_mix(x + _U(i)), ~_U(1))
-            order = np.lexsort((value, at)) if len(at) < 64 else np.argsort(value, kind="stable")[::-1]
-            if len(at) < 64:
-                order = order[::-1]
-            out[at[order]] = value[order]  # of several for a bin the last, the least, stays
+            np.minimum.at(out, at, np.minimum(_mix(x + _U(i)), ~_U(1)))
             left &= (out.reshape(n, bins) == ~_U(0)).any(1)
             if not left.any():
                 break
-            if i < 4 or i % 8 == 0:
+            if 5 * int(sizes[left].sum()) < 4 * len(a):  # elements of filled sketches are done
                 stay = left[who]
                 a, who = a[stay], who[stay]
     return out.reshape(n, bins)
