@@ -9,7 +9,7 @@ whole millionths, so that sums are exact. What no piece covers is counted by its
 the one of fewer pieces counts.
 
 Cases: a null or empty text has no tokens; a word longer than LONG characters is scored without entering the trie; repeated
-rows give equal counts; an empty table gives no rows; other columns pass through if asked for.
+rows give equal counts; an empty table gives no rows; other columns pass through if asked for, but one of an output's name gives way.
 """
 
 from __future__ import annotations
@@ -17,16 +17,17 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2
 
-from logstrata.llm.common import binary, configure
+from logstrata.llm.common import binary, carried, configure, neutral
 
 SPACE = "▁"
-#: Nodes after which a task begins a new trie, which changes no count.
-NODES = 500_000
+#: Nodes, and pre-tokens with a count, after which a task begins a new trie, which changes no count.
+NODES, KEPT = 500_000, 300_000
 LONG = 256
 
 
@@ -44,9 +45,12 @@ class Trie(dict):
 
     def __init__(self, pieces: dict[str, int]):
         super().__init__()
-        self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
         self.byte = min(pieces.values(), default=0) - 10_000_000  # a byte costs more than any piece
+        self.found = ahocorasick.Automaton()
+        for piece, score in pieces.items():
+            self.found.add_word(piece, (len(piece), score))
+        self.found.make_automaton()
+        self.some, self.longest = bool(pieces), max(map(len, pieces), default=1)
         self.reset()
 
     def reset(self) -> None:
@@ -55,55 +59,84 @@ class Trie(dict):
         self.best: list[int] = [0]
         self.tokens: list[int] = [0]
 
-    def _extend(self, word: str, i: int, best: list[int], tokens: list[int]) -> tuple[int, int]:
-        """Score and tokens of word[:i], from those of its shorter prefixes."""
-        width = len(word[i - 1].encode())
-        score, n = best[i - 1] + width * self.byte, tokens[i - 1] + width
-        for j in range(max(0, i - self.longest), i):
-            own = self.pieces.get(word[j:i])
-            if own is not None:
-                s, t = best[j] + own, tokens[j] + 1
-                if s > score or s == score and t < n:
-                    score, n = s, t
-        return score, n
-
     def insert(self, word: str) -> int:
-        node, best, tokens, keep = 0, [0], [0], len(word) <= LONG
-        edges = self.edges
-        for i, letter in enumerate(word, 1):
-            to = edges.get((node, letter)) if keep else None
-            if to is None:
-                score, n = self._extend(word, i, best, tokens)
-                if keep:
-                    to = edges[node, letter] = len(self.best)
-                    self.best.append(score)
-                    self.tokens.append(n)
-            else:
-                score, n = self.best[to], self.tokens[to]
-            node = to
-            best.append(score)
-            tokens.append(n)
+        """Tokens of the best segmentation. Scores of the prefix that the trie has are taken from it, those beyond are worked out from
+        the pieces that end there, which one walk of the vocabulary's automaton gives."""
+        node, best, tokens, edges, known = 0, [0], [0], self.edges, 0
+        keep = len(word) <= LONG
+        if keep:
+            for letter in word:
+                to = edges.get((node, letter))
+                if to is None:
+                    break
+                node, known = to, known + 1
+                best.append(self.best[to])
+                tokens.append(self.tokens[to])
+        if known == len(word):
+            return tokens[-1]
+        best += [0] * (len(word) - known)
+        tokens += [0] * (len(word) - known)
+        matches = self.found.iter(word, max(0, known - self.longest + 1)) if self.some else ()
+        end = known  # prefixes up to here are final
+        for last, (length, own) in matches:
+            if last < known:
+                continue
+            while end < last:  # later prefixes go on from these
+                end += 1
+                self._byte(word, end, best, tokens)
+            i = last + 1
+            if end < i:
+                end = i
+                self._byte(word, end, best, tokens)
+            s, t = best[i - length] + own, tokens[i - length] + 1
+            if s > best[i] or s == best[i] and t < tokens[i]:
+                best[i], tokens[i] = s, t
+        while end < len(word):
+            end += 1
+            self._byte(word, end, best, tokens)
+        if keep:
+            for i in range(known, len(word)):
+                to = edges[node, word[i]] = len(self.best)
+                self.best.append(best[i + 1])
+                self.tokens.append(tokens[i + 1])
+                node = to
         return tokens[-1]
 
+    def _byte(self, word: str, i: int, best: list[int], tokens: list[int]) -> None:
+        """The score of word[:i] with its last letter as bytes, from the final one of the prefix before."""
+        width = len(word[i - 1].encode())
+        best[i], tokens[i] = best[i - 1] + width * self.byte, tokens[i - 1] + width
+
     def __missing__(self, word: bytes) -> int:
-        if len(self.best) > NODES:
-            self.reset()
-        n = self[word] = self.insert(SPACE + word.decode())
+        n = self.insert(SPACE + word.decode())
+        if len(word) <= LONG:
+            self[word] = n
         return n
 
+    def total(self, words: list[bytes]) -> int:
+        if len(self.best) > NODES or len(self) > KEPT:
+            self.reset()
+        return sum(map(self.__getitem__, words))
+
+
+OUTPUTS = ("n_words", "n_tokens")
+
 
 def token_counts(docs: DataFrame, pieces: dict[str, int], text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The columns ``carry`` with n_words (pre-tokens: what ASCII blanks part) and n_tokens."""
     configure(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
-    carry = list(carry)
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)  # a vocabulary: megabytes
+    sent, passed = neutral(docs, carried(carry, OUTPUTS), __text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(shared.value)
         for batch in batches:
-            words = [d.as_py().split() for d in binary(batch.column(text))]
-            tokens = [sum(map(trie.__getitem__, w)) for w in words]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array([len(w) for w in words], pa.int64()), pa.array(tokens, pa.int64())], names=[*carry, "n_words", "n_tokens"])
-
-    sent = docs.select(*carry, *([text] if text not in carry else []))
-    return sent.mapInArrow(run, T.StructType([*(sent.schema[c] for c in carry), T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())]))
+            words, tokens = [], []
+            for data in binary(batch.column("__text")):
+                own = data.as_py().split()
+                words.append(len(own))
+                tokens.append(trie.total(own))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=[*batch.schema.names, *OUTPUTS])
+
+    found = sent.mapInArrow(run, T.StructType([*sent.schema.fields, *(T.StructField(n, T.LongType()) for n in OUTPUTS)]))
+    return found.select(*passed, *OUTPUTS)

@@ -1,12 +1,16 @@
 """Each operator on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns, against brute force."""
 
 import hashlib
+import heapq
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -14,7 +18,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from logstrata.llm import chat_format, decontaminate, exact_dedup, langid, minhash, pieces, secret_scan, suffix_tree_lm, token_counts, warc
-from logstrata.llm.queries import piece_model
+from logstrata.llm.queries import ORACLE_SQL, QUERIES, piece_model
 
 WORDS = "the of and to in is it that was for on are with as his they at be this from".split()
 
@@ -42,6 +46,34 @@ def rows_of(df):
     return [r.asDict() for r in df.collect()]
 
 
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Columns named like outputs and like what operators use within: those of outputs give way, the others pass."""
+    names = ["keep_id", "kept", "n_words", "score", "n_shingles", "first", "top", "size", "row", "node", "copies", "__row", "carried_0"]
+    texts = [None, "a b c d e", "a b c d e", "", prose(1, 30)]
+    return spark.createDataFrame([(i, t, *(f"{n}{i}" for n in names)) for i, t in enumerate(texts)], ["doc_id", "text", *names])
+
+
+CARRIERS = {
+    "exact_dedup": (lambda df, carry: exact_dedup.exact_dedup(df, carry=carry), exact_dedup.OUTPUTS),
+    "near_dedup": (lambda df, carry: minhash.near_dedup(df, carry=carry), minhash.OUTPUTS),
+    "identify": (lambda df, carry: langid.identify(df, langid.Parser({"en": b"\0the\0"}, {}), carry=carry), langid.OUTPUTS),
+    "token_counts": (lambda df, carry: token_counts.token_counts(df, {"a": -1}, carry=carry), token_counts.OUTPUTS),
+    "decontaminate": (lambda df, carry: decontaminate.decontaminate(df, df.select(F.col("doc_id").alias("item_id"), "text"), keep=carry), decontaminate.OUTPUTS),
+}
+
+
+@pytest.mark.parametrize("name", CARRIERS)
+def test_outputs_replace_carried_columns_of_their_names(clashing, name):
+    apply, outputs = CARRIERS[name]
+    carry = clashing.columns
+    got = apply(clashing, carry)
+    passed = [c for c in carry if c not in outputs]
+    assert got.columns == [*passed, *outputs]
+    assert sorted(map(str, got.select([F.col(c) for c in passed]).collect())) == sorted(map(str, clashing.select(passed).collect()))
+    assert all(got.select(o).count() == 5 for o in outputs)
+
+
 def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string, lang string")
 
@@ -71,6 +103,44 @@ def test_pieces_are_the_librarys(spark, docs, processor):
     assert pieces.round_trip(empty(spark), piece_model()).count() == 0
 
 
+WIDE = ["Ｈｅｌｌｏ　① ｶﾞ ﬁ", "  A  b ", "é é Ⅷ ㌔", "a▁b ▁ c", "tab\tand\u3000wide", "ﬁ" * 70, "😀 ½"]
+
+
+@pytest.mark.parametrize("rule, squeeze", [("identity", False), ("nmt_nfkc", True), ("nfkc", False), ("nfkc_cf", True)])
+def test_pieces_of_models_with_a_map(spark, docs, rule, squeeze, tmp_path):
+    proto = pieces.sentencepiece_model_pb2.ModelProto()
+    with open(piece_model(), "rb") as f:
+        proto.ParseFromString(f.read())
+    normal = pieces.sentencepiece_model_pb2.ModelProto()
+    normal.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    proto.normalizer_spec.precompiled_charsmap = normal.normalizer_spec.precompiled_charsmap
+    proto.normalizer_spec.remove_extra_whitespaces = squeeze
+    path = tmp_path / "mapped.model"
+    path.write_bytes(proto.SerializeToString())
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    table = docs.select("doc_id", "text").union(spark.createDataFrame([(100 + i, t) for i, t in enumerate(WIDE)], "doc_id long, text string"))
+    wanted = Counter()
+    for r in rows_of(table):
+        ids = library.encode(r["text"] or "")
+        wanted[r["doc_id"], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows_of(pieces.round_trip(table, str(path)))) == wanted
+    for r in rows_of(pieces.encode(table, str(path))):
+        spans = [0, *sum(zip(r["begins"], r["ends"], strict=True), ())]
+        assert spans == sorted(spans) and spans[-1] <= len((r["text"] or "").encode())
+
+
+def test_every_text_is_normalised_here(monkeypatch):
+    with open(piece_model(), "rb") as f:
+        own = pieces.Codec(f.read())
+    seen, call = [], pieces.Normaliser.__call__
+    monkeypatch.setattr(pieces.Normaliser, "__call__", lambda self, data: seen.append(data) or call(self, data))
+    for text in TEXTS:
+        data = (text or "").encode()
+        _, _, begins, ends = own.encode(data)
+        assert seen[-1] == data and b"".join(data[b:e] for b, e in zip(begins, ends, strict=True)) == data
+    assert len(seen) == len(TEXTS)
+
+
 @pytest.mark.parametrize("rule", ["identity", "nmt_nfkc", "nfkc_cf"])
 @pytest.mark.parametrize("flags", [{}, {"add_dummy_prefix": True}, {"add_dummy_prefix": True, "escape_whitespaces": True, "remove_extra_whitespaces": True}])
 def test_normalisation_by_the_compiled_map(rule, flags):
@@ -91,8 +161,9 @@ def normal(text):
     return re.sub("[\x20\x09-\x0d]+", " ", text or "")
 
 
-@pytest.mark.parametrize("bits", [64, 3])  # with 3 bits, nearly all fingerprints stand for several chunks
-def test_exact_dedup(spark, docs, bits):
+@pytest.mark.parametrize("bits, most", [(64, 1000), (3, 1000), (3, 4)])  # with 3 bits, nearly all fingerprints stand for several chunks
+def test_exact_dedup(spark, docs, bits, most, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_COLLISIONS", most)
     got = rows_of(exact_dedup.exact_dedup(docs, carry=["doc_id", "text"], bits=bits))
     groups = defaultdict(list)
     for r in rows_of(docs):
@@ -146,10 +217,19 @@ def test_decontamination(spark, docs, block, monkeypatch):
         assert (r["n_words"], r["n_hit"], r["n_items"]) == (n, hit, len(found)), r["doc_id"]
         assert r["items_sha256"] == hashlib.sha256(",".join(found).encode()).hexdigest()
         assert r["contaminated"] == (hit > 0 and 20 * hit >= n)
+        words = decontaminate.words_of((r["text"] or "").encode())
+        assert sum(h["end"] - h["begin"] for h in r["hits"]) == hit and r["items"] == found and all(0 <= h["begin"] < h["end"] <= len(words) for h in r["hits"])
     assert decontaminate.decontaminate(empty(spark), benchmark).count() == 0
     assert {r["n_hit"] for r in rows_of(decontaminate.decontaminate(docs, benchmark.limit(0)))} == {0}
 
 
+def test_items_that_share_a_window_are_not_multiplied():
+    items = [(str(i), b"a a".split()) for i in range(3000)]
+    index = decontaminate.Index(items, {})
+    hits, found = index.matches([b"a"] * 3000)
+    assert hits == [(0, 3000)] and found == sorted(i for i, _ in items) and len(index.items) == 1
+
+
 # -- 5
 
 LANGS = {"en": WORDS, "fr": "le la les des une est dans pour avec qui sur pas être été où déjà français".split(), "de": "der die das und nicht für über schön größe straße ein eine mit auf zu".split()}
@@ -186,27 +266,42 @@ def test_training_reads_whole_texts(spark):
     parser = langid.train(spark.createDataFrame(rows, "text string, lang string"))
     assert len(head) > langid.WINDOW and parser.langs == ["de", "fr"]
     asked = langid.folded(pa.array(long))
-    # All of it was learned: only the ends of windows and blocks, and what they cut, end phrases.
-    assert all(n <= 4 * -(-len(t) // langid.WINDOW) for n, t in zip(parser.phrases(asked)[1], asked, strict=True))
+    # All of it was learned: only the ends of windows, and what they cut, end phrases.
+    assert all(n <= 2 * -(-len(t) // langid.WINDOW) for n, t in zip(parser.phrases(asked)[1], asked, strict=True))
     assert sum(parser.phrases(langid.folded(pa.array(bodies)))[0]) <= 1.2 * len(bodies)
 
 
-def test_phrases_are_longest_matches():
-    text = {"a": b"\0abcab\0bca\0", "b": b"\0xyzzy\0"}
+@pytest.mark.parametrize("size, held", [(80, 1 << 20), (5000, 1 << 20), (5000, 1024)])  # within a stretch, over several, carried on
+def test_phrases_are_longest_matches(size, held, monkeypatch):
+    monkeypatch.setattr(langid, "HELD", held)
+    text = {"a": b"\0abcab\0bca\0" + bytes(random.Random(0).choice(b"abc\0") for _ in range(700)), "b": b"\0xyzzy\0"}
     parser = langid.Parser(text, {})
 
     def phrases(lang, data):
         n, at = 0, 0
         while at < len(data):
-            size = max((k for k in range(1, len(data) - at + 1) if data[at : at + k] in text[lang]), default=1)
+            size = 1
+            while at + size < len(data) and data[at : at + size + 1] in text[lang]:
+                size += 1
             n, at = n + 1, at + size
         return n
 
-    for seed in range(50):
+    asked = []
+    for seed in range(12):
         rng = random.Random(seed)
-        data = bytes(rng.choice(b"\0abcxyz?") for _ in range(rng.randrange(1, 80)))
-        counts = parser.phrases([np.frombuffer(data, np.uint8)])
-        assert [int(counts[parser.langs.index(l), 0]) for l in "ab"] == [phrases(l, data) for l in "ab"]
+        asked.append(bytes(rng.choice(b"\0abcxyz?" if seed % 3 else b"abc") for _ in range(rng.randrange(1, size))))
+    asked += [text["a"], text["a"] * 3, b"xyzzy" * 200, b"?" * 600]  # long matches, phrases that reach over stretches
+    for counts, some in ((parser.phrases([np.frombuffer(d, np.uint8) for d in asked]), asked), (parser.phrases([np.frombuffer(asked[1], np.uint8)]), asked[1:2])):
+        for i, data in enumerate(some):
+            assert [int(counts[parser.langs.index(l), i]) for l in "ab"] == [phrases(l, data) for l in "ab"]
+
+
+def test_many_languages_share_the_table(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TABLE_BYTES", 64 << 20)
+    rng = random.Random(4)
+    made = {f"l{k:03}": ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(12)] for k in range(300)}
+    parser = langid.train(spark.createDataFrame([(prose(i, 40, ws), l) for i, (l, ws) in enumerate(made.items())] + [("12", "digits")], "text string, lang string"))
+    assert len(parser.langs) == 300 and parser.table.nbytes <= langid.TABLE_BYTES
 
 
 # -- 6
@@ -238,6 +333,28 @@ def test_secrets(spark):
     assert secret_scan.scan(empty(spark), secret_scan.train(empty(spark))).count() == 0
 
 
+def test_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "CHUNK", 3)
+    arrays = [(k, list(range(k, 0, -1))) for k in (0, 1, 2, 3, 4, 9, 10, 27, 40)]
+    table = spark.createDataFrame(arrays, "k int, v array<int>")
+    sums = secret_scan.running(F.col("v"), F.lit(0), lambda a, b: a + b)
+    least = secret_scan.running(F.col("v"), F.lit(99), lambda a, b: F.least(a, b))
+    for r in rows_of(table.select("v", sums.alias("s"), least.alias("l"))):
+        assert r["s"] == np.cumsum(r["v"]).tolist() and r["l"] == np.minimum.accumulate(r["v"]).tolist() if r["v"] else r["s"] == r["l"] == []
+
+
+def test_very_many_secrets_in_one_text(spark):
+    """Spans of a long text: the work grows with their number, and with nothing greater."""
+    text = " ".join(hashlib.sha1(str(i).encode()).hexdigest() for i in range(16000)) + " " + RANDOM[1]
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "word " * 60_000)], "doc_id long, text string")  # repeated rows, long texts
+    ratios = secret_scan.train(spark.createDataFrame([(0, f"token = {r} some ordinary_identifier twice ordinary_identifier") for r in RANDOM], "doc_id long, text string"))
+    secret_scan.scan(docs.limit(1).select("doc_id", F.lit("x").alias("text")), ratios).collect()  # warm
+    began = time.time()
+    one, two, other = sorted(rows_of(secret_scan.scan(docs, ratios)), key=lambda r: r["doc_id"])
+    assert time.time() - began < 40
+    assert one == two and one["n_hex"] == 16000 and one["spans"].startswith("hex:0:40,hex:41:81,") and other["spans"] == ""
+
+
 # -- 7
 
 
@@ -258,15 +375,86 @@ def test_lm_scores(spark, docs):
 
 
 def test_great_counts_and_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(suffix_tree_lm, "COUNT_BITS", 3)
+    monkeypatch.setattr(suffix_tree_lm, "FREQUENT", 1)
     monkeypatch.setattr(suffix_tree_lm, "BLOCK_BYTES", 200)
-    docs = spark.createDataFrame([(i, "a " * (i * 7) + "b c " * i) for i in range(20)], "doc_id long, text string").coalesce(1)
+    docs = spark.createDataFrame([(f"n{i}", "a " * (i * 700) + "b c " * i) for i in range(20)], "doc_id string, text string").coalesce(1)  # over 1 << COUNT_BITS
     got = {r["doc_id"]: r for r in rows_of(suffix_tree_lm.score(docs, F.lit(False)))}
-    counts = Counter({"a": 7 * 190, "b": 190, "c": 190, "end": 20})
+    counts = Counter({"a": 700 * 190, "b": 190, "c": 190, "end": 20})
     total = sum(counts.values())
     for i in range(20):
-        want = sum(n * math.log10((counts[w] + 1) / (total + 5)) for w, n in (("a", 7 * i), ("b", i), ("c", i), ("end", 1)))
-        assert got[i]["base_score"] == pytest.approx(want, abs=1e-8) and got[i]["n_known"] == 9 * i + 1
+        want = sum(n * math.log10((counts[w] + 1) / (total + 5)) for w, n in (("a", 700 * i), ("b", i), ("c", i), ("end", 1)))
+        assert got[f"n{i}"]["base_score"] == pytest.approx(want, rel=1e-9) and got[f"n{i}"]["n_known"] == 702 * i + 1
+
+
+def naive_model(texts, gain, word_gain):
+    """The tree by its definition, from dictionaries of contexts; and what scores a text."""
+    depth, weight = suffix_tree_lm.DEPTH, suffix_tree_lm.WEIGHT
+    table = defaultdict(Counter)
+    for words in texts:
+        history = b"\n"
+        for symbol in b" ".join(words) + b"\n":
+            for k in range(min(depth, len(history)) + 1):
+                table[history[len(history) - k :]][symbol] += 1
+            history += bytes([symbol])
+
+    def bits(c):
+        n, up = sum(table[c].values()), table[c[1:]]
+        return sum(m * math.log2(m / n / (up[s] / sum(up.values()))) for s, m in table[c].items())
+
+    kept = {b""}
+    for c in [c for c in table if c and bits(c) >= gain - 1e-9]:
+        kept |= {c[i:j] for i in range(len(c)) for j in range(i + 1, len(c) + 1)}
+    kept &= set(table)
+
+    def chance(c, s):
+        up = chance(c[1:], s) if c else 1 / 256
+        return (table[c][s] + weight * up) / (sum(table[c].values()) + weight)
+
+    def units(words):
+        history, out = b"\n", []
+        for word in [w + b" " for w in words[:-1]] + [w + b"\n" for w in words[-1:]] or [b"\n"]:
+            out.append(0.0)
+            for symbol in word:
+                c = next(history[len(history) - k :] for k in range(min(depth, len(history)), -1, -1) if history[len(history) - k :] in kept)
+                out[-1] += math.log10(chance(c, symbol))
+                history += bytes([symbol])
+        return out
+
+    deep, cost, size = defaultdict(Counter), {}, suffix_tree_lm.WORDS
+    pairs = lambda words: [(tuple(words[i - size : i]), (words[i], i == len(words) - 1), i) for i in range(size, len(words))]
+    for words in texts:
+        own = units(words)
+        for c, s, i in pairs(words):
+            deep[c][s] += 1
+            cost[c, s] = -own[i]
+    spared = lambda c: sum(n * math.log2(n / sum(deep[c].values())) + (n - 1) * cost[c, s] * math.log2(10) for s, n in deep[c].items())
+    deeper = {c for c in deep if spared(c) >= word_gain - 1e-9}
+
+    def scored(words):
+        own, total, w = units(words), 0.0, suffix_tree_lm.WORD_WEIGHT
+        for c, s, i in pairs(words):
+            if c in deeper:
+                total += math.log10((deep[c][s] / 10 ** own[i] + w) / (sum(deep[c].values()) + w))
+        return total + sum(own)
+
+    return kept, deeper, scored
+
+
+@pytest.mark.parametrize("gain, word_gain", [(20.0, 4.0), (3.0, 15.0)])
+def test_the_tree_is_that_of_its_definition(spark, gain, word_gain, monkeypatch):
+    rows = [(f"d{i}", prose(i % 20, 6 + 5 * (i % 11)), i % 5 == 4) for i in range(60)] + [("e", "", False), ("n", None, True), ("s", "A", True), ("l", prose(3, 600) + " x", False), ("l", prose(3, 600), True)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, out boolean").repartition(3)
+    plain = lambda text: suffix_tree_lm.plain((text or "").encode())
+    kept, deeper, scored = naive_model([plain(t) for _, t, out in rows if not out], gain, word_gain)
+    tree = suffix_tree_lm.train(docs.filter("not out"), gain=gain)
+    found = {key & ((1 << suffix_tree_lm.TAG) - 1) | 1 << 8 * (key >> suffix_tree_lm.TAG) for key in tree.contexts[:-1].tolist()}
+    assert found == {int.from_bytes(b"\1" + c, "big") for c in kept} and len(kept) > 50 and deeper
+    wanted = sorted((i, round(scored(plain(t)), 7)) for i, t, _ in rows)
+    for limit in (suffix_tree_lm.TREE_BYTES, 2000):  # at once, and in slices
+        monkeypatch.setattr(suffix_tree_lm, "TREE_BYTES", limit)
+        assert len(tree.slices(limit)) > 1 or limit > 2000
+        got = rows_of(suffix_tree_lm.score(docs, F.col("out"), gain=gain, word_gain=word_gain, sparse=1))
+        assert sorted((r["doc_id"], round(r["score"], 7)) for r in got) == wanted
 
 
 def test_automaton_follows_the_longest_suffix():
@@ -276,7 +464,7 @@ def test_automaton_follows_the_longest_suffix():
     for key, m in zip(keys.tolist(), n.tolist(), strict=True):
         for k in range(suffix_tree_lm.DEPTH + 1):
             if k < 2 or key >> 8 * k & 255:
-                table[k << 40 | key >> 8 & ((1 << 8 * k) - 1)][key & 255] += m
+                table[k << suffix_tree_lm.TAG | key >> 8 & ((1 << 8 * k) - 1)][key & 255] += m
     assert sum(table[0].values()) == sum(len(b" ".join(t)) + 1 for t in texts)
     chosen = suffix_tree_lm.closed({k for k in table if sum(table[k].values()) > 25})
     tree = suffix_tree_lm.Tree({k: dict(table[k]) for k in chosen})
@@ -284,8 +472,8 @@ def test_automaton_follows_the_longest_suffix():
 
     def chance(key, symbol):
         if (key, symbol) not in p:
-            k, value = key >> 40, key & ((1 << 40) - 1)
-            up = chance((k - 1) << 40 | value & ((1 << 8 * (k - 1)) - 1), symbol) if k else 1 / 256
+            k, value = key >> suffix_tree_lm.TAG, key & ((1 << suffix_tree_lm.TAG) - 1)
+            up = chance((k - 1) << suffix_tree_lm.TAG | value & ((1 << 8 * (k - 1)) - 1), symbol) if k else 1 / 256
             p[key, symbol] = (table[key][symbol] + suffix_tree_lm.WEIGHT * up) / (sum(table[key].values()) + suffix_tree_lm.WEIGHT)
         return p[key, symbol]
 
@@ -294,7 +482,7 @@ def test_automaton_follows_the_longest_suffix():
         history, total = b"\n", 0.0
         for symbol in b" ".join(words) + b"\n":
             for k in range(min(suffix_tree_lm.DEPTH, len(history)), -1, -1):
-                key = k << 40 | int.from_bytes(history[len(history) - k :], "big")
+                key = k << suffix_tree_lm.TAG | int.from_bytes(history[len(history) - k :], "big")
                 if key in chosen:
                     break
             total += math.log10(chance(key, symbol))
@@ -339,7 +527,8 @@ def near_truth(rows, size, percent):
     return Counter((doc, len(sets[i]), least.get(find(i))) for i, (doc, _) in enumerate(rows))
 
 
-def test_near_duplicates(spark, docs):
+@pytest.mark.parametrize("bits", [64, 2])  # with 2 bits, many sets have equal hashes
+def test_near_duplicates(spark, docs, bits):
     def edited(text, k, seed):
         words, rng = text.split(), random.Random(seed)
         for _ in range(k):
@@ -350,17 +539,42 @@ def test_near_duplicates(spark, docs):
     near = [(100 + 40 * b + i, edited(bases[b], i % 9, 1000 * b + i)) for b in range(3) for i in range(40)]
     rows = [(r["doc_id"], r["text"]) for r in rows_of(docs)] + near + [(900, "A b  C d"), (901, "a B c D"), (902, "a b c")]
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = rows_of(minhash.near_dedup(table, size=4, percent=80))
+    got = rows_of(minhash.near_dedup(table, size=4, percent=80, bits=bits))
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == near_truth(rows, 4, 80)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
     alone = Counter(r["component_id"] for r in got if r["kept_row"] and r["n_shingles"])
     assert set(alone.values()) == {1}
 
 
+def test_no_link_of_the_documents_is_missed(spark, sf_dir):
+    """Recall of links on the given documents: all of the components that SQL finds without sketches."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    wanted = con.execute(ORACLE_SQL["op10_minhash"]).fetchall()
+    got = [(r["doc_id"], r["n_shingles"], r["class_id"], r["component_id"], r["kept"]) for r in rows_of(QUERIES["op10_minhash"](spark, sf_dir))]
+    assert Counter(got) == Counter(wanted) and len({r[3] for r in got}) < len(got)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_dedup(empty(spark)).count() == 0
 
 
+def test_words_that_collide_in_polynomial_hashes_are_told_apart(spark):
+    def thue_morse(a, b):
+        return "".join(b if bin(i).count("1") % 2 else a for i in range(1024))
+
+    table = spark.createDataFrame([(1, thue_morse("a", "b")), (2, thue_morse("b", "a")), (3, "q w e r t")], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"], r["n_shingles"]) for r in rows_of(minhash.near_dedup(table, size=4))} == {(1, 1, 1), (2, 2, 1), (3, 3, 2)}
+
+
+def test_long_texts_are_numbered_in_stretches(monkeypatch):
+    text = prose(9, 3000).encode()
+    whole = minhash.Words().numbers(text)
+    monkeypatch.setattr(minhash, "SLICE_BYTES", 64)
+    assert minhash.Words().numbers(text).tolist() == whole.tolist()
+    assert minhash.Words().numbers(b"x" * 500).tolist() == [0]
+
+
 def test_sketches_estimate_similarity():
     assert minhash.BANDS * minhash.ROWS == minhash.BINS
     for common, own in ((800, 100), (50, 50), (3, 1), (1, 0)):
@@ -375,8 +589,8 @@ def test_sketches_estimate_similarity():
 
 def test_shingles_match_plain_python():
     texts = [t.encode() for t in TEXTS if t is not None]
-    for size in (4, 5):
-        owner, _ = minhash.shingle_hashes(pa.array(texts, pa.large_binary()), size)
+    for size, bits in ((4, 64), (5, 64), (4, 2), (5, 3)):  # a few bits: most shingles share their hash with others
+        owner, _ = minhash.shingle_hashes(pa.array(texts, pa.large_binary()), size, minhash.Words(bits))
         assert np.bincount(owner, minlength=len(texts)).tolist() == [len(minhash.shingle_set(t, size)) for t in texts]
 
 
@@ -412,6 +626,46 @@ def test_archives(spark, tmp_path):
         wanted[i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if first else "revisit", None if first else least[html or ""]] += 1
     assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == wanted
     assert warc.archive_round_trip(table.limit(0)).count() == 0
+    named = rows_of(warc.archive_round_trip(table.withColumn("page_id", F.concat(F.lit("a%\n "), F.col("page_id").cast("string")))))
+    assert {r["page_id"] for r in named} == {None, *(f"a%\n {p[0]}" for p in pages if p[0] is not None)}
+
+
+def test_archive_files_are_bounded_and_members_single(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 4000)
+    monkeypatch.setattr(warc, "CLASSES", (100, 1000, 4000))
+    pages = [(i, f"u{i}", "x" * (i % 90)) for i in range(200)] + [(1000 + i, "u", prose(i, 100)) for i in range(20)] + [(2000 + i, "u", "y" * 9000 + str(i)) for i in range(3)] + [(3000, "u", "z" * (17 << 20))]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    folder = warc.write(table, str(tmp_path / "archives"))
+    files = [p.read_bytes() for p in (tmp_path / "archives").rglob("part-*")]
+    sizes, ids = [], set()
+    for data in files:
+        parts = [p for p in warc.inflated(data) if p]
+        found = [list(warc.parse(p)) for p in parts]
+        assert all(len(f) == 1 for f in found)  # a record a member
+        bodies = [block[block.index(b"\r\n\r\n") + 4 :] for ((_, block),) in found]
+        sizes.append(sum(map(len, bodies)))
+        assert sizes[-1] <= 4000 or len(bodies) == 1
+        ids |= {headers["warc-record-id"] for ((headers, _),) in found}
+    assert len(ids) == len(pages) and len(sizes) > 10
+    assert {bytes(r["payload"]).decode() for r in rows_of(warc.read(spark, folder)) if r["payload"] is not None} == {p[2] for p in pages}
+
+
+def test_damaged_archives_are_refused(spark, tmp_path):
+    table = spark.createDataFrame([(1, "u", "payload one"), (2, "u", "payload one"), (3, "u", "payload two")], "page_id long, url string, html string").coalesce(1)
+    folder = warc.write(table, str(tmp_path / "archives"))
+    (file,) = (tmp_path / "archives").rglob("part-*")
+    (tmp_path / "archives" / "size-0" / f".{file.name}.crc").unlink()
+    whole = file.read_bytes()
+    damaged = b"".join(warc.member(p.replace(b"payload two", b"payload 2wo")) + b"\0" for p in warc.inflated(whole))
+    file.write_bytes(damaged)
+    with pytest.raises(Exception, match="not that of its digest"):
+        warc.read(spark, folder).collect()
+    file.write_bytes(b"".join(warc.member(p.replace(b"sha1:" + warc.digest_of(b"payload one").encode(), b"sha1:" + warc.digest_of(b"other").encode()) if b"revisit" in p else p) + b"\0" for p in warc.inflated(whole)))
+    with pytest.raises(Exception, match="not that of the record it refers to"):
+        warc.resolve(warc.read(spark, folder)).collect()
+    file.write_bytes(whole[:-9])
+    with pytest.raises(Exception, match="ends within a record"):
+        warc.read(spark, folder).collect()
 
 
 # -- 2
@@ -442,17 +696,48 @@ def test_token_counts(spark, docs):
 # -- 1
 
 
+#: What may follow what, and where a conversation may end, written out once more.
+AFTER = {"": {"system", "user"}, "system": {"user"}, "user": {"assistant"}, "assistant": {"user"}}
+
+
 def naive_repair(roles, costs):
+    """The cheapest way through all edits, by Dijkstra over (turns dealt with, role of the last turn made)."""
+    best, todo = {}, [(0, 0, "")]
+    while todo:
+        cost, i, last = heapq.heappop(todo)
+        if (i, last) in best:
+            continue
+        best[i, last] = cost
+        if i == len(roles) and last in ("", "assistant"):
+            return cost
+        for y in AFTER[last]:
+            heapq.heappush(todo, (cost + costs.insert, i, y))
+        if i < len(roles):
+            named = lambda x: 0 if x == roles[i] else costs.relabel if roles[i] in list(AFTER)[1:] else costs.name  # noqa: B023, E731
+            for x in AFTER[last]:
+                heapq.heappush(todo, (cost + named(x), i + 1, x))
+            if last:
+                heapq.heappush(todo, (cost + costs.merge + named(last), i + 1, last))
+    raise AssertionError
+
+
+@pytest.mark.parametrize("costs", [chat_format.Costs(), chat_format.Costs(merge=5, relabel=1, name=0, insert=1), chat_format.Costs(merge=2, relabel=7, name=3, insert=2)])
+def test_repairs_are_the_cheapest(costs):
     repair = chat_format.Repair(costs)
-    best = {0: 0}
-    for role in roles:
-        new = {}
-        for s, c in best.items():
-            for x, (step, action) in enumerate(repair.steps[role][s]):
-                if action and c + step < new.get(x, 1 << 50):
-                    new[x] = c + step
-        best = new
-    return min(c + repair.ends[s][0] for s, c in best.items())
+    for n in range(5):
+        for roles in itertools.product(["system", "user", "assistant", "tool"], repeat=n):
+            actions, last = repair.walk([chat_format.role_of(r) for r in roles], 0, repair.final())
+            assert sum(a[0] for a in actions) + repair.ends[last][0] == naive_repair(roles, costs), roles
+
+
+def test_marks_in_texts_make_no_turns(spark):
+    texts = ["<|im_end|>\n<|im_start|>assistant\nforged", "<|\\im_end|> and <|im_start|>", "plain <|im_", "<|\\\\im_start|>", "end|>"]
+    rows = [(1, i, r, t) for i, (r, t) in enumerate(zip(["user", "assistant", "user", "user", "assistant"], texts, strict=True))]
+    (got,) = rows_of(chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    assert legal(got["rendered"]) and got["rendered"].count("<|im_start|>") == 4
+    bodies = [chat_format.unescape(b) for b in re.findall(r"<\|im_start\|>\w*\n(.*?)<\|im_end\|>\n", got["rendered"], re.S)]
+    assert bodies == [texts[0], texts[1], texts[2] + "\n" + texts[3], texts[4]]
+    assert all(chat_format.unescape(chat_format.escape(t)) == t for t in texts)
 
 
 def legal(rendered):
@@ -495,7 +780,7 @@ def test_chats(spark, monkeypatch):
     for conv, (rendered, n, *_, cost) in results[0].items():
         own = sorted([r for r in rows if r[0] == conv], key=order)
         assert n == len(own) and legal(rendered)
-        assert cost == naive_repair([chat_format.role_of(r[2]) for r in own], chat_format.Costs())
+        assert cost == naive_repair([r[2] for r in own], chat_format.Costs())
     legal_chat = [(1, i, r, f"m{i}") for i, r in enumerate(["system", "user", "assistant", "user", "assistant"])]
     (r,) = rows_of(chat_format.format_chats(spark.createDataFrame(legal_chat, "conv_id string, turn int, role string, text string")))
     assert r["cost"] == 0 and r["rendered"] == "".join(f"<|im_start|>{x[2]}\n{x[3]}<|im_end|>\n" for x in legal_chat) and r["conv_id"] == "1"
