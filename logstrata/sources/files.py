@@ -23,6 +23,12 @@ class Files:
         at, fs = self._path(path)
         return fs.exists(at)
 
+    def names(self, path: str) -> list[str]:
+        """Names of the files of a folder that readers do not pass over; none if it does not exist."""
+        at, fs = self._path(path)
+        found = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(n for n in found if n[0] not in "._")
+
     def make(self, path: str) -> None:
         at, fs = self._path(path)
         fs.mkdirs(at)

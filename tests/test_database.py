@@ -1,7 +1,10 @@
+import json
 import math
+import os
 import threading
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from logstrata import BatchBuilder, ColumnDef, Database, EngineError, Options, Schema
@@ -227,3 +230,86 @@ def test_a_foreign_catalog_is_refused(spark, tmp_path):
     (tmp_path / "db" / "catalog.json").write_text("{}")
     with pytest.raises(EngineError, match="invalid database header"):
         Database.open(str(tmp_path / "db"), Options(), spark)
+
+
+def test_files_count_once_the_catalog_names_them(spark, db, monkeypatch):
+    db.execute_sql(LOGS)
+    frame = spark.createDataFrame([(200, "warn", "api", 1, 1.0)], "ts long, level string, service string, status long, duration double")
+    db.flush_all()
+
+    def fails():
+        raise OSError("no space")
+
+    with monkeypatch.context() as patch:  # the process ends between the write and the catalog
+        patch.setattr(db.catalog, "save", fails)
+        for insert in (lambda: db.insert_frame("logs", frame), lambda: db.insert_rows("logs", [(300 + i, "late", "x", 1, 1.0) for i in range(4)])):
+            with pytest.raises(OSError):
+                insert()
+    with Database.open(db.path, Options(), spark) as again:
+        assert rows(again, "SELECT COUNT(*) AS n FROM logs")[0][0] == 3
+    # The rows of the second go on waiting, and are written once.
+    assert rows(db, "SELECT ts FROM logs WHERE ts >= 200 ORDER BY ts") == [(300 + i,) for i in range(4)]
+
+
+def test_a_second_handle_does_not_undo_the_first(spark, db):
+    db.execute_sql("CREATE TABLE a (x INT)")
+    other = Database(spark, db.path, Options())
+    db.execute_sql("CREATE TABLE b (x INT)")
+    with pytest.raises(EngineError, match="another handle"):
+        other.execute_sql("CREATE TABLE c (x INT)")
+    assert [r[0] for r in rows(Database(spark, db.path, Options()), "SHOW TABLES")] == ["a", "b"]
+
+
+def test_stream_batches_are_told_by_number(spark, db):
+    db.execute_sql("CREATE TABLE t (x INT)")
+    frame = spark.range(3).withColumnRenamed("id", "x")
+    assert db.insert_frame("t", frame, ("checkpoint", 0)) == 3
+    with Database.open(db.path, Options(), spark) as again:  # after a restart, the batch is tried again
+        assert again.insert_frame("t", frame, ("checkpoint", 0)) == 0
+        assert again.insert_frame("t", frame.limit(0), ("checkpoint", 1)) == 0
+        assert again.insert_frame("t", frame, ("checkpoint", 2)) == 3
+        assert rows(again, "SELECT COUNT(*) AS n FROM t") == [(6,)]
+
+
+def test_appends_do_not_read_what_is_stored(spark, db, monkeypatch):
+    db.execute_sql("CREATE TABLE t (x INT)")
+    monkeypatch.setattr(db.catalog, "read", lambda name: pytest.fail("read"))
+    for _ in range(2):
+        assert db.insert_frame("t", spark.range(5).withColumnRenamed("id", "x")) == 5
+    monkeypatch.undo()
+    assert db.catalog.table("t").rows > 5 and rows(db, "SELECT COUNT(*) AS n FROM t") == [(10,)]
+
+
+def test_row_groups_are_as_asked_and_batches_written_side_by_side(spark, tmp_path, monkeypatch):
+    from logstrata.sources import catalog
+
+    monkeypatch.setattr(catalog, "FILE_ROWS", 30)
+    with Database.open(str(tmp_path / "db"), Options(row_group_size=10, preserve_order=True), spark) as db:
+        db.execute_sql("CREATE TABLE t (x INT, s TEXT)")
+        n = 30 * (os.cpu_count() or 1) + 7
+        db.insert_columnar_batch("t", {"x": list(range(n)), "s": [f"s{i % 3}" for i in range(n)]})
+        files = sorted((tmp_path / "db" / db.catalog.table("t").folder).glob("part-*"))
+        assert len(files) == len(db.catalog.table("t").parts) > 1 or (os.cpu_count() or 1) == 1
+        groups = [pq.ParquetFile(f).metadata.row_group(i).num_rows for f in files for i in range(pq.ParquetFile(f).metadata.num_row_groups)]
+        assert set(groups) == {10} and sum(groups) == n // 10 * 10
+        db.insert_rows("t", [(n + i, "tail") for i in range(2)])  # after columns that wait
+        db.insert_columnar_batch("t", {"x": [n + 2], "s": ["last"]})
+        assert rows(db, f"SELECT x FROM t LIMIT {n + 3}") == [(i,) for i in range(n + 3)]
+
+
+def test_an_older_catalog_is_read(spark, db):
+    db.execute_sql(LOGS)
+    db.flush_all()
+    found = json.loads(open(f"{db.path}/catalog.json").read())
+    for table in found["tables"].values():
+        table["files"] = len(table.pop("parts"))
+        del table["batches"]
+    with open(f"{db.path}/catalog.json", "w") as out:
+        json.dump({"format": 1, "tables": found["tables"]}, out)
+    for hidden in [f"{db.path}/.catalog.json.crc"]:
+        if os.path.exists(hidden):
+            os.remove(hidden)
+    again = Database(spark, db.path, Options())
+    assert rows(again, "SELECT COUNT(*) AS n FROM logs") == [(3,)]
+    again.execute_sql("INSERT INTO logs VALUES (103, 'x', 'y', 1, 1.0)")
+    assert rows(again, "SELECT COUNT(*) AS n FROM logs") == [(4,)]

@@ -122,15 +122,16 @@ def test_random_queries(random_table, sql):
     assert ours == sorted(map(str, con.execute(sql).fetchall())), sql
 
 
-def test_without_the_llm_subpackage(tmp_path):
-    """The rest imports where the subpackage and the pipeline are missing."""
+@pytest.mark.parametrize("missing", ["logstrata.llm", "sentencepiece", "xxhash"])
+def test_without_the_llm_subpackage(tmp_path, missing):
+    """The rest imports where the subpackage and the pipeline are missing, or a library that only they need."""
     for name in ("logstrata", "__spark_entry__.py"):
         os.symlink(os.path.join(ROOT, name), tmp_path / name)
     code = (
         "import sys, importlib.abc\n"
         "class Missing(importlib.abc.MetaPathFinder):\n"
         "    def find_spec(self, name, path=None, target=None):\n"
-        "        if name.startswith('logstrata.llm') or name == 'corpus_pipeline':\n"
+        f"        if name.startswith({missing!r}) or name == 'corpus_pipeline':\n"
         "            raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Missing())\n"
         "import __spark_entry__ as e\n"
