@@ -28,7 +28,7 @@ ASSIGN_LEAST = 6
 
 #: Characters of a run that the models know, and the length from which a run is judged.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-RUN_LEAST = 16
+RUN_LEAST = 8
 RUN = r"[A-Za-z0-9+/_=-]"
 #: Log-likelihood ratio (natural logarithm) from which a run counts as random: odds of e**40 against one.
 MARGIN = 40.0
