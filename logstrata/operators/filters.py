@@ -11,6 +11,7 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from logstrata.errors import EngineError
 from logstrata.functions.arithmetic import literal
@@ -25,19 +26,18 @@ def _kind(kinds: dict[str, str | None], name: str) -> str:
     return kind
 
 
-def _constant(value: Any, instant: bool) -> Column:
+def _constant(value: Any, instant: DataType | None) -> Column:
     """A literal, as a timestamp for a column that is stored as one (microseconds; folded by the optimizer)."""
-    return F.timestamp_micros(literal(value)).cast("timestamp_ntz") if instant else literal(value)
+    return F.timestamp_micros(literal(value)).cast(instant) if instant else literal(value)
 
 
-def compile_filter(where: Any, kinds: dict[str, str | None], column: Callable[[str], Column], instants: dict[str, Column] | None = None) -> Column:
-    """``instants``: for whole-number times made from stored timestamps, the timestamps, which readers can filter by."""
+def compile_filter(where: Any, kinds: dict[str, str | None], column: Callable[[str], Column], instants: dict[str, tuple[Column, DataType]] | None = None) -> Column:
+    """``instants``: for whole-number times made from stored timestamps, the timestamps and their type, which readers can filter by."""
     if isinstance(where, ir.And):
         return reduce(lambda a, b: a & b, [compile_filter(p, kinds, column, instants) for p in where.parts])
     if isinstance(where, ir.Or):
         return reduce(lambda a, b: a | b, [compile_filter(p, kinds, column, instants) for p in where.parts])
-    instant = (instants or {}).get(getattr(where, "column", ""))
-    made = instant is not None
+    instant, made = (instants or {}).get(getattr(where, "column", ""), (None, None))
     if made:
         column = lambda _: instant
     if isinstance(where, ir.IsNull):

@@ -65,7 +65,7 @@ def select(plan: ir.Select, df: DataFrame, preserve_order: bool = False, strict:
     kinds = {f.name: kind_of(f) for f in df.schema if not f.name.startswith(HIDDEN)}
     _check(plan, kinds)
     if plan.where is not None:
-        instants = {c.removeprefix(INSTANT): _column(c) for c in df.columns if c.startswith(INSTANT)}
+        instants = {f.name.removeprefix(INSTANT): (_column(f.name), f.dataType) for f in df.schema if f.name.startswith(INSTANT)}
         df = df.filter(compile_filter(plan.where, kinds, _column, instants))
     projections = plan.projections
     if isinstance(projections[0].expr, ir.Star):

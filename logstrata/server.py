@@ -14,7 +14,8 @@ import hashlib
 import os
 import struct
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import Any
 
 from logstrata.database import Database, Options, Result
@@ -229,7 +230,8 @@ class _Portal:
     statement: _Statement
     command: Any
     formats: list[int]
-    result: Result | None = None
+    kinds: list[str] = dataclasses.field(default_factory=list)
+    rows: Iterator | None = None  # what is left after an Execute that asked for fewer
 
 
 class _Client:
@@ -336,17 +338,25 @@ class _Client:
         if result.frame is None:
             self.writer.write(_message(b"C", _string(f"INSERT 0 {result.count}" if result.tag == "INSERT" else result.tag)))
             return
-        kinds, n = result.kinds, 0
+        kinds = result.kinds
         if describe:
             self.writer.write(_description(result.columns, kinds, formats))
-        rows = iter(await self.server.call(result.frame.toLocalIterator))
-        while batch := await self.server.call(lambda: [r for _, r in zip(range(BATCH), rows)]):  # noqa: B905
+        await self.rows(iter(await self.server.call(result.frame.toLocalIterator)), kinds, formats, 0)
+
+    async def rows(self, rows: Iterator, kinds: list[str], formats: list[int], most: int) -> bool:
+        """Sends rows, at most so many if not 0, and says whether there may be more."""
+        n = 0
+        while batch := await self.server.call(lambda: list(islice(rows, min(BATCH, most - n) if most else BATCH))):  # noqa: B023
             for row in batch:
                 cells = b"".join(_cell(v, k, _format(formats, i)) for i, (v, k) in enumerate(zip(row, kinds, strict=True)))
                 self.writer.write(_message(b"D", struct.pack("!h", len(row)) + cells))
             n += len(batch)
             await self.writer.drain()
+            if n == most:
+                self.writer.write(_message(b"s"))
+                return True
         self.writer.write(_message(b"C", _string(f"SELECT {n}")))
+        return False
 
     async def on_parse(self, body: bytes) -> None:
         name, sql, rest = body.split(b"\0", 2)
@@ -409,15 +419,22 @@ class _Client:
             self.writer.write(_message(b"n"))
 
     async def on_execute(self, body: bytes) -> None:
-        portal = self.portals[body.split(b"\0", 1)[0].decode()]
-        sql = portal.statement.sql
+        name, most = body.split(b"\0", 1)
+        portal = self.portals[name.decode()]
+        sql, most = portal.statement.sql, max(0, struct.unpack("!i", most)[0])
         found = _builtin(sql, self.settings, self.database, self.server.config.user)
         if found:
             self.text_row(*found, describe=False)
         elif portal.command is None:
             self.writer.write(_message(b"C", _string("SET")) if self.quiet(sql) else _message(b"I"))
         else:
-            await self.answer(await self.server.call(self.server.db.run, portal.command), portal.formats, describe=False)
+            if portal.rows is None:
+                result = await self.server.call(self.server.db.run, portal.command)
+                if result.frame is None:
+                    return await self.answer(result, portal.formats, describe=False)
+                portal.kinds, portal.rows = result.kinds, iter(await self.server.call(result.frame.toLocalIterator))
+            if not await self.rows(portal.rows, portal.kinds, portal.formats, most):
+                portal.rows = iter(())
 
     async def on_close(self, body: bytes) -> None:
         (self.statements if body[:1] == b"S" else self.portals).pop(body[1:-1].decode(), None)

@@ -313,3 +313,27 @@ def test_an_older_catalog_is_read(spark, db):
     assert rows(again, "SELECT COUNT(*) AS n FROM logs") == [(3,)]
     again.execute_sql("INSERT INTO logs VALUES (103, 'x', 'y', 1, 1.0)")
     assert rows(again, "SELECT COUNT(*) AS n FROM logs") == [(4,)]
+
+
+def test_cached_columns_go_when_the_table_changes(spark, db):
+    db.execute_sql(LOGS)
+    db.cache("logs")
+    cached = lambda: "InMemoryTableScan" in db.execute_one("SELECT ts FROM logs WHERE status > 300").frame._jdf.queryExecution().executedPlan().toString()
+    assert cached() and rows(db, "SELECT COUNT(*) AS n FROM logs WHERE status > 300") == [(2,)]
+    db.execute_sql("INSERT INTO logs VALUES (103, 'error', 'web', 500, 8.0)")
+    assert rows(db, "SELECT COUNT(*) AS n FROM logs WHERE status > 300") == [(3,)] and not cached()
+    db.cache("logs")
+    db.execute_sql("ALTER TABLE logs RENAME TO l; ALTER TABLE l RENAME COLUMN status TO code")
+    assert rows(db, "SELECT COUNT(*) AS n FROM l WHERE code > 300") == [(3,)]
+    db.uncache("l")
+    db.execute_sql("DROP TABLE l")
+
+
+def test_zoned_timestamps_are_filtered_by_the_reader(spark, tmp_path):
+    from logstrata.sources.external import query_parquet
+
+    spark.sql("SELECT timestamp_micros(id * 1000000) AS zoned, CAST(timestamp_micros(id * 1000000) AS timestamp_ntz) AS plain, id FROM range(100)").write.parquet(str(tmp_path / "t.parquet"))
+    for column in ("zoned", "plain"):
+        df = query_parquet(spark, str(tmp_path), f"SELECT id, {column} FROM t WHERE {column} >= 90000000 AND {column} <> 95000000")
+        assert f"GreaterThanOrEqual({column}," in df._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r[1] for r in df.collect()) == [i * 1_000_000 for i in range(90, 100) if i != 95]

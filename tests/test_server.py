@@ -39,6 +39,14 @@ class Client:
         self.send(b"Q", sql.encode() + b"\0")
         return await self.until()
 
+    async def in_portions(self, sql, most, times):
+        self.send(b"P", b"p\0" + sql.encode() + b"\0" + struct.pack("!h", 0))
+        self.send(b"B", b"q\0p\0" + struct.pack("!hhh", 0, 0, 0))
+        for _ in range(times):
+            self.send(b"E", b"q\0" + struct.pack("!i", most))
+        self.send(b"S")
+        return await self.until()
+
     async def prepared(self, sql, values, oids=()):
         self.send(b"P", b"s\0" + sql.encode() + b"\0" + struct.pack(f"!h{len(oids)}i", len(oids), *oids))
         self.send(b"D", b"Ss\0")
@@ -112,6 +120,10 @@ def test_server(spark, tmp_path):
                 assert cells(got) == [("it's'; DROP TABLE logs; --", "2.0")] and columns(got) == [("service", 25), ("x", 701)]
                 assert "no value for parameter" in errors(await client.prepared("SELECT x FROM logs WHERE ts = $2", ["1"]))[0]
                 assert cells(await client.query("SELECT 1.0 / 0.0 AS v, 2 + 3 AS w")) == [("Infinity", "5")]
+                # Rows in portions: two, then the third and last, then none.
+                got = await client.in_portions("SELECT ts FROM logs ORDER BY ts", 2, 3)
+                assert [k for k, _ in got if k in b"DsC"] == [b"D", b"D", b"s", b"D", b"C", b"C"]
+                assert cells(got) == [("1",), ("2",), ("3",)] and tags(got) == ["SELECT 1", "SELECT 0"]
                 client.send(b"X")
                 client.writer.close()
 
