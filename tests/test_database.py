@@ -337,3 +337,31 @@ def test_zoned_timestamps_are_filtered_by_the_reader(spark, tmp_path):
         df = query_parquet(spark, str(tmp_path), f"SELECT id, {column} FROM t WHERE {column} >= 90000000 AND {column} <> 95000000")
         assert f"GreaterThanOrEqual({column}," in df._jdf.queryExecution().executedPlan().toString()
         assert sorted(r[1] for r in df.collect()) == [i * 1_000_000 for i in range(90, 100) if i != 95]
+
+
+@pytest.mark.parametrize("sync", [True, False])
+def test_files_are_synced_as_asked(spark, tmp_path, monkeypatch, sync):
+    calls = []
+    monkeypatch.setattr(os, "fsync", calls.append)
+    with Database.open(str(tmp_path / "db"), Options(row_group_size=2, sync_on_flush=sync), spark) as db:
+        db.execute_sql("CREATE TABLE t (x INT); INSERT INTO t VALUES (1), (2), (3)")
+        db.flush_all()
+        assert len(calls) == (2 if sync else 0) and rows(db, "SELECT COUNT(*) AS n FROM t") == [(3,)]
+
+
+def test_the_catalog_is_old_or_new(spark, db, monkeypatch):
+    """A catalog is written beside the one that counts and then takes its place: a failure in between leaves the old one."""
+    db.execute_sql("CREATE TABLE a (x INT)")
+    before = db.catalog.files.read(db.catalog.path)
+    replace = type(db.catalog.files).replace
+
+    def stops(self, path, text):
+        replace(self, path + ".elsewhere", text)
+        raise OSError("stopped")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(type(db.catalog.files), "replace", stops)
+        with pytest.raises(OSError):
+            db.execute_sql("CREATE TABLE b (x INT)")
+    assert db.catalog.files.read(db.catalog.path) == before
+    assert [r[0] for r in rows(Database(spark, db.path, Options()), "SHOW TABLES")] == ["a"]
