@@ -65,6 +65,16 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(table(spark, sf_dir, "documents"), size=4, percent=80).drop("kept_row")
 
 
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6_secret_scan that SQL can express: the patterns' spans."""
+    return op6_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7_lm_score that SQL can express: counts of words, and the unigram score."""
+    return op7_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_token_counts": op2_token_counts,
@@ -76,11 +86,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_minhash": op10_minhash,
+    "secret_base": secret_base,
+    "lm_base": lm_base,
 }
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PLAIN_WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: CRC-32 of a string of ASCII letters, bit by bit.
+_CRC = """xor(list_reduce(list_transform(range(0, length({0}) + 1), lambda i: CASE WHEN i = 0 THEN 4294967295 ELSE ascii(substr({0}, i, 1)) END),
+    lambda c, b: list_reduce(list_transform(range(0, 9), lambda i: CASE WHEN i = 0 THEN xor(c, b) ELSE 0 END), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)"""
+
+_CALM = "coalesce(text, '')"
+
+
+def _span_sql(kind: int, pattern: str, group: int, least: int) -> str:
+    """Spans of a kind: gaps and matches take turns, and their lengths add up to places."""
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT rid, {kind} AS kind, e - length(hit) AS s, e FROM (
+        SELECT rid, i, hits[i] AS hit, own[i] AS value, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + list_sum(list_transform(hits[1:i], lambda x: length(x))) AS e
+        FROM (SELECT rid, regexp_split_to_array(t, '{quoted}') AS gaps, regexp_extract_all(t, '{quoted}') AS hits, regexp_extract_all(t, '{quoted}', {group}) AS own FROM d) AS x, unnest(range(1, len(hits) + 1)) AS r(i))
+        WHERE length(value) >= {least}"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
@@ -111,6 +139,22 @@ FROM d LEFT JOIN marks USING (rid) LEFT JOIN owners USING (rid)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER (g ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 WINDOW g AS (PARTITION BY t)
+""",
+    "secret_base": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_CALM} AS t FROM documents),
+spans AS ({" UNION ALL ".join([_span_sql(0, secret_scan.ASSIGN, 1, secret_scan.ASSIGN_LEAST), _span_sql(1, secret_scan.ACCESS, 0, 0), _span_sql(2, secret_scan.HEX, 0, 0)])}),
+said AS (SELECT rid, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
+         string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, kind) AS x FROM spans GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(x, '')) AS base_sha256 FROM d LEFT JOIN said USING (rid)
+""",
+    "lm_base": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_CRC.format("doc_id::VARCHAR")} % 7 = 2 AS held_out,
+           list_append(list_filter(regexp_split_to_array({_LOWER.format("text")}, '[\x20\x09-\x0D]+'), lambda x: x <> ''), chr(10)) AS w FROM documents),
+e AS (SELECT rid, held_out, unnest(w) AS k FROM d),
+c AS (SELECT k, count(*) AS n FROM e WHERE NOT held_out GROUP BY k),
+z AS (SELECT coalesce(sum(n), 0)::BIGINT AS total, count(*) AS v FROM c),
+r AS (SELECT rid, count(*) AS n_tokens, count(c.n) AS n_known, sum(log10(coalesce(c.n, 0) + 1)) AS logs FROM e LEFT JOIN c USING (k) GROUP BY rid)
+SELECT doc_id, held_out, n_tokens, n_known, total AS train_tokens, round(logs - n_tokens * log10(total + v + 1), 4) AS base_score FROM d JOIN r USING (rid), z
 """,
     "op10_minhash": rf"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array({_LOWER.format("text")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
