@@ -8,8 +8,9 @@ agree in one of BANDS bands are candidates. At similarity 0.8 one band agrees wi
 with probability (1 - 0.8 ** 6) ** 64 < 4e-9.
 
 Hashes only lead to candidates. Sets are counted and compared as words: where two shingles of a document have one hash, their words
-are compared; documents with equal hashes of all shingles are one class, represented by one of them, after each has been compared
-with it (one that differs is a class of its own); links are confirmed on the sets. Within a bucket not all pairs are formed: pivots are compared to those members that are not yet in the pivot's
+are compared; documents with equal hashes of all shingles are one class, represented by one of them. Where their words, all in order,
+have one 256-bit BLAKE2 digest, they are equal; one text of each other digest is compared with the representative, and where the sets
+differ, its digest makes a class of its own. Links are confirmed on the sets. Within a bucket not all pairs are formed: pivots are compared to those members that are not yet in the pivot's
 component. A compared pivot is done, and the number of pivots grows by PIVOTS with each round, until each bucket is one component or all
 its members but those of one component have been pivots; so each candidate pair of different components is verified, and no link is lost to a cap. Pairs that
 cannot be links are left out by exact bounds: a set has no more in common with another than with all other candidates together, and
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logstrata.llm.common import SLICE_BYTES, binary, carried, configure, materialise, neutral, slices
+from logstrata.llm.common import SLICE_BYTES, binary, carried, configure, materialise, neutral, setting, slices
 
 BANDS, ROWS = 64, 6
 BINS = BANDS * ROWS
@@ -49,7 +50,7 @@ ROUNDS = 60
 #: Parts of a text by which it is told where two sets agree with a third.
 PARTS = 64
 #: Members of a bucket that are dealt out together: larger buckets lie in several parts, so no task gets a whole large one.
-SHARE = 256
+SHARE = 64
 #: Distinct words a worker keeps from one slice of texts to the next.
 WORDS_KEPT = 400_000
 
@@ -76,19 +77,17 @@ class Words:
         self.known: defaultdict[bytes, int] = defaultdict(count().__next__)
         self.hashes = np.zeros(0, np.uint64)
 
-    def numbers(self, data: bytes) -> np.ndarray:
-        """The numbers of a text's words. Long texts are taken in stretches that end with a word."""
-        if len(data) <= SLICE_BYTES:
-            words = data.lower().split()  # of bytes: only A-Z change, only ASCII blanks divide
-            return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        parts, at = [], 0
-        while at < len(data):
-            blank = _BLANK.search(data, at + SLICE_BYTES // 2)
+    def numbers(self, data: bytes) -> tuple[np.ndarray, bytes]:
+        """The numbers of a text's words, and a digest of these in order. Long texts are taken in stretches that end with a word."""
+        parts, at, digest = [], 0, hashlib.blake2b(digest_size=32)
+        while at < len(data) or not parts:
+            blank = _BLANK.search(data, at + SLICE_BYTES) if len(data) - at > SLICE_BYTES else None
             end = blank.start() if blank else len(data)
-            words = data[at:end].lower().split()
+            words = data[at:end].lower().split()  # of bytes: only A-Z change, only ASCII blanks divide
             parts.append(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
+            digest.update(b" ".join([*words, b""]))
             at = end
-        return np.concatenate(parts)
+        return (np.concatenate(parts) if len(parts) > 1 else parts[0]), digest.digest()
 
     def hashed(self, numbers: np.ndarray) -> np.ndarray:
         """Hashes of words; their quality matters for speed alone, as sets are compared by words."""
@@ -99,11 +98,12 @@ class Words:
         return self.hashes[numbers]
 
 
-def shingle_hashes(texts: pa.Array, size: int, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of each distinct shingle of a slice of texts, sorted. Shingles of one hash are told apart by their words."""
+def shingle_hashes(texts: pa.Array, size: int, words: Words) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(document, hash) of each distinct shingle of a slice of texts, sorted, and a digest of each text's words. Shingles of one hash
+    are told apart by their words."""
     if len(words.known) > WORDS_KEPT:
         words.clear()
-    own = [words.numbers(t.as_py()) for t in texts]
+    own, digests = zip(*(words.numbers(t.as_py()) for t in texts), strict=True) if len(texts) else ((), ())
     counts = np.array([len(w) for w in own], np.int64)
     word = np.concatenate(own) if own else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(own)), counts)
@@ -130,7 +130,7 @@ def shingle_hashes(texts: pa.Array, size: int, words: Words) -> tuple[np.ndarray
         new[1:] = (x[1:] != x[:-1]) | (o[1:] != o[:-1])
         for key in keys:
             new[1:] |= key[order][1:] != key[order][:-1]
-    return o[new], x[new]
+    return o[new], x[new], list(digests)
 
 
 def sketches(owner: np.ndarray, h: np.ndarray, n: int, bins: int = BINS) -> np.ndarray:
@@ -186,16 +186,16 @@ def _parted(data: bytes, size: int) -> dict[tuple[bytes, ...], int]:
 
 
 def _profile(docs: DataFrame, size: int, bits: int) -> DataFrame:
-    """The rows with __n (size of the set), __key (a digest of the set's hashes) and __bands."""
+    """The rows with __n (size of the set), __key (a digest of the set's hashes), __words (one of all words) and __bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(bits)
         for batch in batches:
             texts = binary(batch.column("__text"))
-            sizes, keys, bands = [], [], []
+            sizes, keys, sequences, bands = [], [], [], []
             for start, stop in slices(texts):
                 n = stop - start
-                owner, h = shingle_hashes(texts.slice(start, n), size, words)
+                owner, h, digests = shingle_hashes(texts.slice(start, n), size, words)
                 counts = np.bincount(owner, minlength=n)
                 edges = np.concatenate([[0], np.cumsum(counts)])
                 for i in range(n):
@@ -208,35 +208,32 @@ def _profile(docs: DataFrame, size: int, bits: int) -> DataFrame:
                 rank = np.cumsum(chosen) - 1
                 own = bands_of(sketches(rank[owner[stay]], h[stay], int(chosen.sum())))
                 sizes += counts.tolist()
+                sequences += digests
                 bands += [own[rank[l]] if counts[i] else None for i, l in enumerate(lead)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=[*batch.schema.names, "__n", "__key", "__bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sequences, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=[*batch.schema.names, "__n", "__key", "__words", "__bands"])
 
-    added = [T.StructField("__n", T.LongType()), T.StructField("__key", T.BinaryType()), T.StructField("__bands", T.ArrayType(T.LongType()))]
+    added = [T.StructField("__n", T.LongType()), T.StructField("__key", T.BinaryType()), T.StructField("__words", T.BinaryType()), T.StructField("__bands", T.ArrayType(T.LongType()))]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added])).withColumn("__row", F.monotonically_increasing_id())
 
 
-def _unlike(rows: DataFrame, sets: DataFrame, size: int) -> DataFrame:
-    """(row) of the members of a class whose set is not that of the class's first row, by their words: none, as a rule."""
+def _unlike(rows: DataFrame, doubtful: DataFrame, size: int) -> DataFrame:
+    """(k, w) of the digests w of words in a class k whose set is not that of the class's first row, by their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple[int | None, list, set] = (None, [], set())
+        known: tuple[bytes | None, set] = (None, set())
         for batch in batches:
-            head, row, found = batch.column("head").to_pylist(), batch.column("row").to_pylist(), []
-            for i, (x, y) in enumerate(zip(binary(batch.column("x")), binary(batch.column("y")), strict=True)):
-                if known[0] != head[i]:  # rows come sorted by class
-                    data = x.as_py()
-                    known = (head[i], data.lower().split(), shingle_set(data, size))
-                data = y.as_py()
-                if data.lower().split() != known[1] and shingle_set(data, size) != known[2]:
-                    found.append(row[i])
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["row"])
-
-    several = sets.filter("copies > 1").select(F.col("__key").alias("k"), F.col("first.row").alias("head"))
-    heads = rows.select("__row", F.col("__text").alias("x")).join(several, F.col("__row") == F.col("head")).drop("__row")
-    members = rows.select("__key", F.col("__row").alias("row"), F.col("__text").alias("y"))
-    # A sort-merge join of tables: adaptive execution splits a class that very many rows share.
-    both = members.join(heads, (F.col("__key") == F.col("k")) & (F.col("row") != F.col("head")))
-    return both.select("head", "row", "x", "y").mapInArrow(run, "row long")
+            keys, differ = batch.column("k").to_pylist(), []
+            for key, x, y in zip(keys, binary(batch.column("x")), binary(batch.column("y")), strict=True):
+                if known[0] != key:  # rows of a class mostly come one after the other
+                    known = (key, shingle_set(x.as_py(), size))
+                differ.append(shingle_set(y.as_py(), size) != known[1])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("w")], names=["k", "w"]).filter(pa.array(differ, pa.bool_()))
+
+    several = rows.select("__key", "__words", "__row").join(doubtful, F.col("__key") == F.col("k")).groupBy("k", "head", F.col("__words").alias("w")).agg(F.min("__row").alias("one"))
+    texts = rows.select("__row", "__text")
+    heads = texts.select(F.col("__row").alias("head"), F.col("__text").alias("x")).join(doubtful.select("head"), "head", "left_semi")
+    both = several.filter("one <> head").join(texts.select(F.col("__row").alias("one"), F.col("__text").alias("y")), "one").join(heads, "head")
+    return both.select("k", "w", "x", "y").mapInArrow(run, "k binary, w binary")
 
 
 def _spread(small: DataFrame) -> DataFrame:
@@ -304,7 +301,7 @@ def _alone(texts: DataFrame, size: int, bits: int) -> DataFrame:
         for batch in batches:
             data, nodes = binary(batch.column("__text")), batch.column("__row").to_numpy()
             for start, stop in slices(data):
-                owner, h = shingle_hashes(data.slice(start, stop - start), size, words)
+                owner, h, _ = shingle_hashes(data.slice(start, stop - start), size, words)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[start:stop][owner]), pa.array(h.view(np.int64))], names=["node", "h"])
 
     owners = texts.mapInArrow(run, "node long, h long").groupBy("h").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("c"))
@@ -424,17 +421,21 @@ def near_dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id", s
     order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
 
     def classed(rows: DataFrame) -> DataFrame:
-        return materialise(rows.filter("__n > 0").groupBy("__key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
+        words = [F.min("__words").alias("lo"), F.max("__words").alias("hi")]
+        return materialise(rows.filter("__n > 0").groupBy("__key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"), *words), "classes")
 
     sets = classed(rows)
-    unlike = materialise(_unlike(rows, sets, size), "unlike")
-    if not unlike.isEmpty():  # equal hashes of different sets: these rows become classes of their own
-        apart = F.when(F.col("row").isNotNull(), F.concat("__key", F.encode(F.col("__row").cast("string"), "UTF-8"))).otherwise(F.col("__key"))
-        rows = materialise(rows.join(unlike, rows["__row"] == unlike["row"], "left").withColumn("__key", apart).drop("row"), "profile")
+    doubtful = sets.filter("lo <> hi").select(F.col("__key").alias("k"), F.col("first.row").alias("head"))
+    if not doubtful.isEmpty():  # equal hashes of texts that are not the same words
+        unlike = materialise(_unlike(rows, doubtful, size), "unlike")
+        apart = F.when(F.col("w").isNotNull(), F.concat("__key", "__words")).otherwise(F.col("__key"))
+        rows = materialise(rows.join(unlike, (F.col("__key") == F.col("k")) & (F.col("__words") == F.col("w")), "left").withColumn("__key", apart).drop("k", "w"), "profile")
         sets = classed(rows)
     heads = sets.select(F.col("first.row").alias("__row"))
     classes = materialise(rows.select("__row", "__n", "__bands").join(heads, "__row"), "bands")
-    labels = links(rows, classes, size, percent, bits)
+    # Parts of buckets are even; where a join's other side turns out small, reading map outputs as they lie would undo that.
+    with setting(docs.sparkSession, "spark.sql.adaptive.localShuffleReader.enabled", "false"):
+        labels = links(rows, classes, size, percent, bits)
     by_class = sets.select(F.col("__key").alias("__of"), "first", "copies")
     if labels is None:
         by_class = by_class.withColumn("top", F.col("first"))
@@ -444,7 +445,7 @@ def near_dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id", s
         tops = rooted.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("top"), F.sum("copies").alias("all"))
         by_class = rooted.join(tops, rooted["root"] == tops["r"]).drop("r", "root")
     by_class = materialise(by_class.select("__of", "first", "top"), "tops")
-    joined = rows.drop("__bands").join(by_class, rows["__key"] == by_class["__of"], "left")
+    joined = rows.drop("__bands", "__words").join(by_class, rows["__key"] == by_class["__of"], "left")
     empty = F.col("__of").isNull()
     top = F.when(empty, F.col("__id")).otherwise(F.col("top.id"))
     return joined.select(

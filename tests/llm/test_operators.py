@@ -333,6 +333,20 @@ def test_secrets(spark):
     assert secret_scan.scan(empty(spark), secret_scan.train(empty(spark))).count() == 0
 
 
+def test_recall_and_precision_of_the_models(spark, sf_dir):
+    """Trained on the given documents: random strings of their alphabets are found, and runs of letters in ordinary text are not."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = random.Random(6)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    made = [(k, "".join(rng.choice(alphabet) for _ in range(n))) for k, (alphabet, n) in enumerate([(upper + lower + digits, 12), (upper + lower + digits + "+/", 20), (digits + "abcdef", 16), (upper + "234567", 16)]) for _ in range(100)]
+    table = spark.createDataFrame([(f"{k}:{i}", f"see {run} there") for i, (k, run) in enumerate(made)], "doc_id string, text string")
+    ratios = secret_scan.train(docs)
+    found = Counter(r["doc_id"].split(":")[0] for r in rows_of(secret_scan.scan(table, ratios)) if r["n_markov"])
+    assert found["0"] >= 90 and found["1"] == 100 and found["2"] >= 90 and found["3"] >= 90, found
+    spans = [x["value"] for r in rows_of(secret_scan.scan(docs, ratios)) for x in r["found"] if x["kind"] == 3]
+    assert not [v for v in spans if v.isalpha()] and len(spans) <= 0.05 * docs.count(), spans
+
+
 def test_running_sums(spark, monkeypatch):
     monkeypatch.setattr(secret_scan, "CHUNK", 3)
     arrays = [(k, list(range(k, 0, -1))) for k in (0, 1, 2, 3, 4, 9, 10, 27, 40)]
@@ -448,7 +462,7 @@ def test_the_tree_is_that_of_its_definition(spark, gain, word_gain, monkeypatch)
     kept, deeper, scored = naive_model([plain(t) for _, t, out in rows if not out], gain, word_gain)
     tree = suffix_tree_lm.train(docs.filter("not out"), gain=gain)
     found = {key & ((1 << suffix_tree_lm.TAG) - 1) | 1 << 8 * (key >> suffix_tree_lm.TAG) for key in tree.contexts[:-1].tolist()}
-    assert found == {int.from_bytes(b"\1" + c, "big") for c in kept} and len(kept) > 50 and deeper
+    assert found == {int.from_bytes(c + b"\1", "little") for c in kept} and len(kept) > 50 and deeper
     wanted = sorted((i, round(scored(plain(t)), 7)) for i, t, _ in rows)
     for limit in (suffix_tree_lm.TREE_BYTES, 2000):  # at once, and in slices
         monkeypatch.setattr(suffix_tree_lm, "TREE_BYTES", limit)
@@ -463,8 +477,9 @@ def test_automaton_follows_the_longest_suffix():
     table = defaultdict(Counter)
     for key, m in zip(keys.tolist(), n.tolist(), strict=True):
         for k in range(suffix_tree_lm.DEPTH + 1):
-            if k < 2 or key >> 8 * k & 255:
-                table[k << suffix_tree_lm.TAG | key >> 8 & ((1 << 8 * k) - 1)][key & 255] += m
+            value = key >> 8 * (suffix_tree_lm.DEPTH + 1 - k) if k else 0
+            if k < 2 or value & 255:
+                table[k << suffix_tree_lm.TAG | value][key & 255] += m
     assert sum(table[0].values()) == sum(len(b" ".join(t)) + 1 for t in texts)
     chosen = suffix_tree_lm.closed({k for k in table if sum(table[k].values()) > 25})
     tree = suffix_tree_lm.Tree({k: dict(table[k]) for k in chosen})
@@ -473,7 +488,7 @@ def test_automaton_follows_the_longest_suffix():
     def chance(key, symbol):
         if (key, symbol) not in p:
             k, value = key >> suffix_tree_lm.TAG, key & ((1 << suffix_tree_lm.TAG) - 1)
-            up = chance((k - 1) << suffix_tree_lm.TAG | value & ((1 << 8 * (k - 1)) - 1), symbol) if k else 1 / 256
+            up = chance((k - 1) << suffix_tree_lm.TAG | value >> 8, symbol) if k else 1 / 256
             p[key, symbol] = (table[key][symbol] + suffix_tree_lm.WEIGHT * up) / (sum(table[key].values()) + suffix_tree_lm.WEIGHT)
         return p[key, symbol]
 
@@ -482,7 +497,7 @@ def test_automaton_follows_the_longest_suffix():
         history, total = b"\n", 0.0
         for symbol in b" ".join(words) + b"\n":
             for k in range(min(suffix_tree_lm.DEPTH, len(history)), -1, -1):
-                key = k << suffix_tree_lm.TAG | int.from_bytes(history[len(history) - k :], "big")
+                key = k << suffix_tree_lm.TAG | int.from_bytes(history[len(history) - k :], "little")
                 if key in chosen:
                     break
             total += math.log10(chance(key, symbol))
@@ -546,6 +561,18 @@ def test_near_duplicates(spark, docs, bits):
     assert set(alone.values()) == {1}
 
 
+@pytest.mark.parametrize("name", ORACLE_SQL)
+def test_queries_match_their_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    theirs = con.execute(ORACLE_SQL[name])
+    columns = [d[0] for d in theirs.description]
+    ours = QUERIES[name](spark, sf_dir)
+    assert sorted(ours.columns) == sorted(columns)
+    assert Counter(map(tuple, ours.select(columns).collect())) == Counter(theirs.fetchall())
+
+
 def test_no_link_of_the_documents_is_missed(spark, sf_dir):
     """Recall of links on the given documents: all of the components that SQL finds without sketches."""
     con = duckdb.connect()
@@ -569,10 +596,11 @@ def test_words_that_collide_in_polynomial_hashes_are_told_apart(spark):
 
 def test_long_texts_are_numbered_in_stretches(monkeypatch):
     text = prose(9, 3000).encode()
-    whole = minhash.Words().numbers(text)
+    whole, digest = minhash.Words().numbers(text)
     monkeypatch.setattr(minhash, "SLICE_BYTES", 64)
-    assert minhash.Words().numbers(text).tolist() == whole.tolist()
-    assert minhash.Words().numbers(b"x" * 500).tolist() == [0]
+    parts, again = minhash.Words().numbers(text.replace(b" ", b" \n "))
+    assert parts.tolist() == whole.tolist() and again == digest
+    assert minhash.Words().numbers(b"x" * 500)[0].tolist() == [0] and minhash.Words().numbers(b"")[0].tolist() == []
 
 
 def test_sketches_estimate_similarity():
@@ -590,7 +618,7 @@ def test_sketches_estimate_similarity():
 def test_shingles_match_plain_python():
     texts = [t.encode() for t in TEXTS if t is not None]
     for size, bits in ((4, 64), (5, 64), (4, 2), (5, 3)):  # a few bits: most shingles share their hash with others
-        owner, _ = minhash.shingle_hashes(pa.array(texts, pa.large_binary()), size, minhash.Words(bits))
+        owner, _, _ = minhash.shingle_hashes(pa.array(texts, pa.large_binary()), size, minhash.Words(bits))
         assert np.bincount(owner, minlength=len(texts)).tolist() == [len(minhash.shingle_set(t, size)) for t in texts]
 
 
