@@ -73,6 +73,36 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _TABLES.reset(mark)
 
 
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Lists the scratch tables written within; they go on belonging to the scope around, if there is one."""
+    around, tables = _TABLES.get(), []
+    mark = _TABLES.set(tables)
+    try:
+        yield tables
+    finally:
+        _TABLES.reset(mark)
+        if around is not None:
+            around += tables
+
+
+_SCRATCH, _NAME = "logstrata_scratch", re.compile(r"[a-z]+-[0-9a-f]{32}")
+
+
+def marked(df: DataFrame, tables: list[str]) -> DataFrame:
+    """The DataFrame with the names of the scratch tables it is made of in its first column's metadata, which stored tables keep."""
+    first = df.schema.fields[0]
+    return df.withMetadata(first.name, {**first.metadata, _SCRATCH: [t.rsplit("/", 1)[1] for t in tables]})
+
+
+def let_go(stored: DataFrame) -> None:
+    """Deletes the scratch tables that a table was made of before it was stored. One that is still to be computed from them keeps them."""
+    names = [n for f in stored.schema for n in f.metadata.get(_SCRATCH, ()) if _NAME.fullmatch(n)]
+    if names and not any(n in file for file in stored.inputFiles() for n in names):
+        for n in names:
+            delete(stored.sparkSession, f"{shared_dir(stored.sparkSession)}/{n}")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     if (tables := _TABLES.get()) is not None:

@@ -114,6 +114,23 @@ def test_whole_pipeline(spark, folder):
     assert os.listdir(f"{common.shared_dir(spark).removeprefix('file:')}/{kept}") == ["4-sentencepiece"]
 
 
+def test_a_stage_deletes_the_scratch_of_the_one_before(spark, folder, tmp_path):
+    there = lambda: set(os.listdir(common.shared_dir(spark).removeprefix("file:")))
+    docs, before = spark.createDataFrame(documents(), SCHEMA), there()
+    (_, exact), (_, near) = corpus_pipeline.STAGES[1:3]
+    lazy = exact(spark, docs, folder)
+    own = there() - before
+    assert own and {name.split("-")[0] for name in own} >= {"recipes"}
+    n = near(spark, lazy, folder).count()  # not stored: its tables are still needed
+    assert own <= there()
+    lazy.write.parquet(str(tmp_path / "stored"))
+    found = near(spark, spark.read.parquet(str(tmp_path / "stored")), folder)
+    assert not own & there() and found.count() == n
+    foreign = docs.withMetadata("doc_id", {common._SCRATCH: ["../documents.parquet", "x", "a-" + "0" * 32]})  # what others wrote there names no folder of ours
+    common.let_go(foreign)
+    assert os.path.isdir(f"{folder}/documents.parquet")
+
+
 def test_stages_of_nothing(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.createDataFrame([], SCHEMA), folder).count() == 0
