@@ -51,8 +51,8 @@ ROUNDS = 60
 PARTS = 64
 #: Members of a bucket that are dealt out together: larger buckets lie in several parts, so no task gets a whole large one.
 SHARE = 64
-#: Distinct words a worker keeps from one slice of texts to the next.
-WORDS_KEPT = 400_000
+#: Distinct words a worker keeps from one slice of texts to the next: few, as look-ups are quickest in a small table.
+WORDS_KEPT = 20_000
 
 _U = np.uint64
 _STEP = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
@@ -115,7 +115,8 @@ def shingle_hashes(texts: pa.Array, size: int, words: Words) -> tuple[np.ndarray
         for k in range(size):
             inside = slice(None) if k == 0 or not len(length) or int(length.min()) > k else k < length
             h[inside] = _mix(h[inside] * _U(_STEP[k % 4]) + hashes[lead[inside] + k] + _U(k + 1))
-    order = np.lexsort((h, owner))
+    order = np.argsort(h)
+    order = order[np.argsort(owner[order].astype(np.uint16 if len(own) <= 1 << 16 else np.int64), kind="stable")]
     o, x, at, n = owner[order], h[order], lead[order], length[order]
     new = np.ones(len(o), bool)
     new[1:] = (x[1:] != x[:-1]) | (o[1:] != o[:-1])
@@ -136,9 +137,8 @@ def shingle_hashes(texts: pa.Array, size: int, words: Words) -> tuple[np.ndarray
 def sketches(owner: np.ndarray, h: np.ndarray, n: int, bins: int = BINS) -> np.ndarray:
     """[n, bins]: the sketch of each of n sets; rows of empty sets hold the greatest value."""
     out = np.full(n * bins, ~_U(0), np.uint64)
-    sized = np.bincount(owner, minlength=n) > 0
-    left = sized.copy()
     a, who, sizes = h, owner, np.bincount(owner, minlength=n)
+    left, todo, grid = sizes > 0, np.flatnonzero(sizes), out.reshape(n, bins)
     with np.errstate(over="ignore"):
         for i in range(2 * bins):
             x = a * (_mix(np.uint64(i + 1)) | _U(1))  # elements are hashes already: a multiplier of each round's own deals them out anew
@@ -148,13 +148,15 @@ def sketches(owner: np.ndarray, h: np.ndarray, n: int, bins: int = BINS) -> np.n
             free = out[at] == ~_U(0) if i else slice(None)
             at, x = at[free], x[free]
             np.minimum.at(out, at, np.minimum(_mix(x + _U(i)), ~_U(1)))
-            left &= (out.reshape(n, bins) == ~_U(0)).any(1)
-            if not left.any():
+            open_ = (grid[todo] == ~_U(0)).any(1)
+            left[todo[~open_]] = False
+            todo = todo[open_]
+            if not len(todo):
                 break
-            if 5 * int(sizes[left].sum()) < 4 * len(a):  # elements of filled sketches are done
+            if 5 * int(sizes[todo].sum()) < 4 * len(a):  # elements of filled sketches are done
                 stay = left[who]
                 a, who = a[stay], who[stay]
-    return out.reshape(n, bins)
+    return grid
 
 
 def bands_of(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
