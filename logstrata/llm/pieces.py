@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,7 +138,10 @@ class Codec:
         kinds = np.array([p.type for p in proto.pieces])
         self.width = np.array([1 if p.type == BYTE else len(p.piece.encode()) for p in proto.pieces], np.int64)
         self.bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() for p in proto.pieces]
-        self.special = set(np.flatnonzero((kinds != NORMAL) & (kinds != BYTE)).tolist())
+        self.special = (kinds != NORMAL) & (kinds != BYTE)
+        self.led = np.array([p.piece[:1] == SPACE for p in proto.pieces])  # pieces of which the first in a text loses its space
+        self.kept = np.array([len(b) for b in self.bytes], np.int64)
+        self.flat, self.begins = np.frombuffer(b"".join(self.bytes), np.uint8), np.cumsum(self.kept) - self.kept
         merged = [p.piece for p in proto.pieces if p.type == NORMAL]
         # Merges stay within a unit (spaces and what follows up to the next space or line feed) if no piece reaches across one.
         self.by_unit = (
@@ -145,11 +149,13 @@ class Codec:
             and not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in merged) and not any(p.type == USER for p in proto.pieces)
         )
         self.units: dict[str, tuple[bytes, str]] = {}
+        self.numbers = [str(i) for i in range(len(proto.pieces))]
         self.pattern = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
     def _learn(self, units: list[str]) -> dict[str, tuple[bytes, str]]:
         """Ids of units, packed and as text."""
-        found = {u: (np.array(i, np.int32).tobytes(), ",".join(map(str, i))) for u, i in zip(units, self.segmenter.encode(units, num_threads=1), strict=True)}
+        number = self.numbers.__getitem__
+        found = {u: (array("i", i).tobytes(), ",".join(map(number, i))) for u, i in zip(units, self.segmenter.encode(units, num_threads=1), strict=True)}
         if len(self.units) >= CACHED_UNITS:
             self.units.clear()
         self.units |= {u: f for u, f in found.items() if len(u) <= CACHED_CHARS} if max(map(len, units)) > CACHED_CHARS else found
@@ -175,8 +181,8 @@ class Codec:
         normal, align = self.normalise(data)
         ids, numbers = self.ids(normal)
         ends = np.cumsum(self.width[ids])
-        if len(ids) and (ends[-1] != len(normal) or (self.special and not self.special.isdisjoint(ids.tolist()))):
-            ends = np.cumsum([len(p.surface.encode()) if i in self.special else self.width[i] for i, p in self._surfaces(normal, ids)])
+        if len(ids) and (ends[-1] != len(normal) or self.special[ids].any()):
+            ends = np.cumsum([len(p.surface.encode()) if self.special[i] else self.width[i] for i, p in self._surfaces(normal, ids)])
         starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])[: len(ids)]
         return ids, numbers, align[starts], align[ends]
 
@@ -185,23 +191,17 @@ class Codec:
         return zip(ids.tolist(), self.segmenter.encode(normal.decode(), out_type="immutable_proto").pieces, strict=True)
 
     def decode(self, ids: np.ndarray) -> str:
-        values = ids.tolist()
-        if not values:
+        if not len(ids):
             return ""
-        if self.special.isdisjoint(values) and self.normalise.prefix and not self.normalise.squeeze:
-            data = b"".join(map(self.bytes.__getitem__, values))
+        if self.normalise.prefix and not self.normalise.squeeze and not self.special[ids].any():
+            sizes = self.kept[ids]
+            ends = np.cumsum(sizes)
+            data = self.flat[np.repeat(self.begins[ids] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
             try:
-                return (data[1:] if data[:1] == b" " and values[0] in self.led else data).decode()
+                return (data[1:] if data[:1] == b" " and self.led[ids[0]] else data).decode()
             except UnicodeDecodeError:
                 pass
-        return self.processor.decode(values)
-
-    @property
-    def led(self) -> set[int]:
-        """Pieces that begin with a space, of which the first in a text loses it."""
-        if not hasattr(self, "_led"):
-            self._led = {i for i, b in enumerate(self.bytes) if b[:1] == b" " and self.processor.id_to_piece(i)[0] == SPACE}
-        return self._led
+        return self.processor.decode(ids.tolist())
 
 
 _CODECS: dict[str, Codec] = {}
