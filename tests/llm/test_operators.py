@@ -440,7 +440,7 @@ def naive_model(texts, gain, word_gain):
         own = units(words)
         for c, s, i in pairs(words):
             deep[c][s] += 1
-            cost[c, s] = -own[i]
+            cost[c, s] = float(np.float32(-own[i]))  # the precision that costs are kept in
     spared = lambda c: sum(n * math.log2(n / sum(deep[c].values())) + (n - 1) * cost[c, s] * math.log2(10) for s, n in deep[c].items())
     deeper = {c for c in deep if spared(c) >= word_gain - 1e-9}
 
@@ -448,7 +448,8 @@ def naive_model(texts, gain, word_gain):
         own, total, w = units(words), 0.0, suffix_tree_lm.WORD_WEIGHT
         for c, s, i in pairs(words):
             if c in deeper:
-                total += math.log10((deep[c][s] / 10 ** own[i] + w) / (sum(deep[c].values()) + w))
+                at = float(np.float32(-own[i]))
+                total += (at if deep[c][s] else 0) + math.log10((deep[c][s] + w * 10**-at if deep[c][s] else w) / (sum(deep[c].values()) + w))
         return total + sum(own)
 
     return kept, deeper, scored
