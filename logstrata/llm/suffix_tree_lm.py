@@ -11,12 +11,14 @@ The next symbol of a context of bytes is a byte. This part of the tree is kept a
 followed a context, in which a text's distinct strings of DEPTH + 1 bytes are looked up together; it is broadcast, in slices of at most
 TREE_BYTES by the contexts' last bytes, of which a worker holds one at a time. The next symbol of a context of words is a word
 with the space or end after it, and its suffix's prediction the product over these bytes. Such contexts are as many as the corpus has
-words; the tree has those whose hash is divisible by ``sparse`` (SPARSE), with all their occurrences, and they never leave the cluster's
-tables.
+words, and they never leave the cluster's tables. One that no word follows twice in the training rows saves nothing, so a first pass finds
+those that one may follow twice, from fingerprints of all strings of WORDS + 1 words; what it finds is broadcast as a bitmap, in slices of at
+most TREE_BYTES, and only these contexts, with all their occurrences, are counted. A false find is counted, and then fails the test.
 
 Counts cover all training rows. Byte counts are summed within tasks before the exchange. Frequent words' counts, at most FREQUENT, are
 broadcast. For other words, and for contexts of words, tasks turn blocks of rows into numbered entries and lists of where they stand;
-entries meet the counts, or each other, and their values return to the blocks as numbers. No text crosses the network.
+entries meet the counts, or each other, and their values return to the blocks as numbers. Contexts of words and fingerprints go sorted, as
+differences, in compressed rows of PARTS parts. Of all these only words cross the network as text.
 
 Cases: a null text is empty and consists of the end alone; words never trained count 0; without training rows all counts are 0 and
 the tree is its root, which gives every byte the same probability; rows with equal ids or texts are scored each; ids keep their type; an
@@ -39,12 +41,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from logstrata.llm.common import binary, configure, materialise, neutral, raw, scratch, slices
+from logstrata.llm.common import binary, configure, materialise, neutral, raw, scratch, setting, slices
 
 #: Bytes of the longest context; bits that a context must save, whatever the corpus; weight of the suffix's distribution.
 DEPTH, GAIN, WEIGHT = 5, 20.0, 4.0
-#: Words of a longer context, which of these strings are contexts (those whose hash this divides), and gain and weight there.
-WORDS, SPARSE, WORD_GAIN, WORD_WEIGHT = 4, 8, 4.0, 0.5
+#: Words of a longer context, and gain and weight there.
+WORDS, WORD_GAIN, WORD_WEIGHT = 4, 4.0, 0.5
+#: Contexts of words are parted by the first bits of their hash. Bits of a fingerprint that come from the context, and from its next word; how
+#: many fingerprints a task holds; and the bitmap's least and greatest size, as powers of two.
+PART_BITS, CONTEXT_BITS, NEXT_BITS, POOL, MAP_BITS = 10, 32, 8, 1 << 22, (16, 32)
+PARTS = 1 << PART_BITS
+#: Removes the files of an exchange as soon as the table made from it is stored.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of the tree's tables that are broadcast at once; words that are, and the length of the longest of them.
 TREE_BYTES, FREQUENT, FREQUENT_LENGTH = 128 << 20, 200_000, 64
 #: A context's key is its bytes, the latest highest (so that those with the same suffix lie together), with its length above them.
@@ -297,6 +305,111 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, compressed by the bytes of their numbers: the first of all, then the second, and so on."""
+    planes = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return len(arrays[0]).to_bytes(4, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
+    size, widths = int.from_bytes(data[:4], "little"), [np.dtype(k).itemsize for k in kinds]
+    planes = np.frombuffer(pa.decompress(data[4:], size * sum(widths), "zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for kind, width in zip(kinds, widths, strict=True):
+        out.append(np.ascontiguousarray(planes[at : at + size * width].reshape(width, size).T).view(kind).ravel())
+        at += size * width
+    return out
+
+
+def steps(x: np.ndarray) -> np.ndarray:
+    """The first number and the differences of a sorted array."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def parted(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """(part, first, beyond) of those that a sorted array has."""
+    at = np.searchsorted(part, np.arange(PARTS + 1, dtype=part.dtype))
+    return [(i, int(at[i]), int(at[i + 1])) for i in np.flatnonzero(at[1:] > at[:-1]).tolist()]
+
+
+def strings(seen: list[np.ndarray], ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of numbered words, with the end after each text's: the places in the text, and the texts, of those with a context of words; its
+    hash; what tells the word; and where they stand in all."""
+    word, place = np.concatenate(seen).astype(np.int64), np.repeat(np.arange(len(seen)), [len(s) for s in seen])
+    sizes = np.array([len(s) for s in seen])
+    at = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))
+    here = np.flatnonzero((at >= WORDS) & (at < sizes[place] - 1))
+    h = np.zeros(len(here), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(WORDS, 0, -1):
+            h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + hashes[word[here - k]])
+    last = at[here] == sizes[place[here]] - 2
+    symbol = (hashes[word[here]] >> np.uint64(33)).astype(np.uint32) << np.uint32(1) | last
+    return at[here], place[here], h, symbol, here
+
+
+def repeated(rows: DataFrame, bits: int) -> DataFrame:
+    """(part, map): the bitmap, by parts of the hash, of the contexts of words that some word may follow twice in the rows. None is missing.
+
+    Fingerprints of all strings of WORDS + 1 words meet by part; those that a task has twice are marked.
+    """
+    low = CONTEXT_BITS + NEXT_BITS - PART_BITS  # bits of a fingerprint within its part
+
+    def emitted(pool: list[np.ndarray]) -> pa.RecordBatch:
+        prints, n = np.unique(np.concatenate(pool), return_counts=True)
+        parts = parted(prints >> np.uint64(low))
+        own = ((prints & np.uint64((1 << low) - 1)) << np.uint64(1) | (n > 1)).astype(np.uint32)
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in parts], pa.int32()), pa.array([packed(steps(own[a:b])) for _, a, b in parts], pa.binary())], names=["part", "prints"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool, held = [], 0
+        for batch in batches:
+            texts = binary(batch.column(0))
+            for start, stop in slices(texts):
+                ids: defaultdict[bytes, int] = defaultdict(count().__next__)
+                seen = [np.array([*map(ids.__getitem__, plain(t.as_py())), ids[b"\n"]], np.int32) for t in texts.slice(start, stop - start)]
+                _, _, h, symbol, _ = strings(seen, ids)
+                with np.errstate(over="ignore"):
+                    after = _mix((h + symbol) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - NEXT_BITS)
+                pool.append(h >> np.uint64(64 - CONTEXT_BITS) << np.uint64(NEXT_BITS) | after)
+                held += len(h)
+                if held >= POOL:
+                    yield emitted(pool)
+                    pool, held = [], 0
+        if held:
+            yield emitted(pool)
+
+    def found(key: tuple, table: pa.Table) -> pa.Table:
+        own = np.sort(np.concatenate([np.cumsum(unpacked(d, np.uint32)[0], dtype=np.uint32) for d in table.column("prints").to_pylist()]))
+        twice = own[(own & np.uint32(1)) == 1] >> np.uint32(1)
+        own >>= np.uint32(1)
+        slots = np.concatenate([twice, own[1:][own[1:] == own[:-1]]]) >> np.uint32(NEXT_BITS + CONTEXT_BITS - bits)
+        flags = np.zeros(1 << bits - PART_BITS, np.uint8)
+        flags[slots] = 1
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "map": pa.array([packed(np.packbits(flags, bitorder="little"))], pa.binary())})
+
+    return rows.select("__text").mapInArrow(run, "part int, prints binary").groupBy("part").applyInArrow(found, "part int, map binary")
+
+
+def bitmaps(rows: DataFrame, total: int) -> list[tuple[int, int, object]]:
+    """The bitmap's slices, of at most TREE_BYTES if possible, broadcast; with the range of parts that each has."""
+    spark, (least, most) = rows.sparkSession, MAP_BITS
+    bits = min(max((total // 2).bit_length(), least), most)
+    size = (1 << bits - PART_BITS) // 8  # bytes of a part
+    many = max(1, TREE_BYTES // size)
+    with scratch(spark):
+        table, out = materialise(repeated(rows, bits), "repeated"), []
+        for first in range(0, PARTS, many):
+            beyond = min(PARTS, first + many)
+            whole = np.zeros((beyond - first, size), np.uint8)
+            own = table.filter((F.col("part") >= first) & (F.col("part") < beyond)).toArrow()
+            for part, data in zip(own.column("part").to_pylist(), own.column("map").to_pylist(), strict=True):
+                whole[part - first] = unpacked(data, np.uint8)[0]
+            out.append((first, beyond, spark.sparkContext.broadcast((bits, whole.ravel()))))
+    return out
+
+
 class Block:
     """Rows of a task that are indexed together: words by number, and for each row its words, scores and what to tell it by."""
 
@@ -351,25 +464,25 @@ class Block:
         number = np.cumsum(np.isnan(logs)) - 1
         return base, hits, [names[i] for i in rare.tolist()], postings(number[word[~known]], place[~known], n[~known], len(rare))
 
-    def contexts(self, sparse: int, units: np.ndarray, firsts: np.ndarray) -> tuple:
+    def contexts(self, sparse: int, maps: list | None, units: np.ndarray, firsts: np.ndarray) -> tuple:
         """(contexts, next symbols, costs of these by bytes, trained counts) of the contexts of words that the tree may have, and
         where they stand."""
-        word, place = self.flat()
-        sizes = np.array([len(s) for s in self.seen])
-        at = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.ids), np.uint64, len(self.ids))
-        here = np.flatnonzero((at >= WORDS) & (at < sizes[place] - 1))
-        h = np.zeros(len(here), np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(WORDS, 0, -1):
-                h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + hashes[word[here - k]])
-        kept = h % np.uint64(sparse) == 0
-        here, h = here[kept], h[kept].view(np.int64)
-        last = at[here] == sizes[place[here]] - 2
-        symbol = (hashes[word[here]] >> np.uint64(33)).astype(np.int64) << 1 | last
-        cost = (-units[firsts[place[here]] + at[here]]).astype(np.float32)  # half the bytes in every exchange
-        order = np.lexsort((place[here], symbol, h))
-        h, symbol, cost, where = h[order], symbol[order], cost[order], place[here][order]
+        at, place, h, symbol, _ = strings(self.seen, self.ids)
+        kept = np.full(len(h), maps is None)
+        for first, beyond, part in maps or ():
+            bits, flags = part.value
+            slot = (h >> np.uint64(64 - bits)).astype(np.int64)
+            own = np.flatnonzero((slot >> bits - PART_BITS >= first) & (slot >> bits - PART_BITS < beyond))
+            slot = slot[own] - (first << bits - PART_BITS)
+            kept[own] = flags[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
+            if len(maps) > 1:
+                del flags, part._value  # as with the tree's slices
+        if sparse > 1:
+            kept &= h % np.uint64(sparse) == 0
+        at, place, h, symbol = at[kept], place[kept], h[kept], symbol[kept]
+        cost = (-units[firsts[place] + at]).astype(np.float32)  # half the bytes in every exchange
+        order = np.lexsort((place, symbol, h))
+        h, symbol, cost, where = h[order], symbol[order], cost[order], place[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (symbol[1:] != symbol[:-1])
         entry = np.cumsum(new) - 1
@@ -391,14 +504,14 @@ def postings(entry: np.ndarray, place: np.ndarray, n: np.ndarray, entries: int)
 PAPER, LIST, WORD, CONTEXT = 0, 1, 2, 3
 
 
-def _index(docs: DataFrame, tree: Tree, frequent: dict[bytes, float], sparse: int) -> DataFrame:
+def _index(docs: DataFrame, tree: Tree, frequent: dict[bytes, float], sparse: int, maps: list | None) -> DataFrame:
     """Rows of kind PAPER, the documents with place, score by bytes, and sums over frequent words; of kind WORD, the other words of each
-    block; of kind CONTEXT, pairs of a context of words and its next symbol with its cost and trained count; and of kind LIST, for a
-    block's words and for its pairs by entry, where they stand."""
+    block; of kind CONTEXT, for a part of the hashes (as place) pairs of a context of words and its next symbol, with costs and trained
+    counts, from an entry on; and of kind LIST, for a block's words and for its pairs by entry, where they stand."""
     context = docs.sparkSession.sparkContext
     common = context.broadcast(frequent)  # FREQUENT words of FREQUENT_LENGTH bytes, at most
     parts = [context.broadcast(p) for p in tree.slices(TREE_BYTES)]
-    schema = T.StructType.fromDDL("kind int, block long, place int, entry int, word binary, ctx long, symbol long, cost float, n long, sizes binary, lists binary, score double, logs double, known long, tokens long, held_out boolean")
+    schema = T.StructType.fromDDL("kind int, block long, place int, entry int, word binary, sizes binary, lists binary, score double, logs double, known long, tokens long, held_out boolean")
     schema = schema.add(T.StructField("doc_id", docs.schema["__id"].dataType))
     kinds = {f.name: to_arrow_type(f.dataType) for f in schema}
 
@@ -419,10 +532,12 @@ def _index(docs: DataFrame, tree: Tree, frequent: dict[bytes, float], sparse: in
             )
             numbers_of = lambda n: pa.array(np.arange(n, dtype=np.int32))
             whole = [table(WORD, block.number, len(words), word=pa.array(words, pa.binary()), entry=numbers_of(len(words)))]
-            ctx, symbol, cost, trained, there = block.contexts(sparse, units, firsts)
-            whole.append(table(CONTEXT, block.number, len(ctx), ctx=pa.array(ctx), symbol=pa.array(symbol), cost=pa.array(cost), n=pa.array(trained), entry=numbers_of(len(ctx))))
-            packed = lambda k: pa.array([own[k].tobytes() for own in (there, where)], pa.binary())
-            yield table(LIST, block.number, 2, place=numbers_of(2), sizes=packed(0), lists=packed(1))  # 0: contexts, 1: words
+            ctx, symbol, cost, trained, there = block.contexts(sparse, maps, units, firsts)
+            parts_of = parted(ctx >> np.uint64(64 - PART_BITS))
+            data = [packed(steps(ctx[a:b]), symbol[a:b], cost[a:b], trained[a:b].astype(np.uint32)) for _, a, b in parts_of]
+            whole.append(table(CONTEXT, block.number, len(data), place=pa.array([p for p, _, _ in parts_of], pa.int32()), entry=pa.array([a for _, a, _ in parts_of], pa.int32()), lists=pa.array(data, pa.binary())))
+            both = lambda k: pa.array([packed(own[k]) for own in (there, where)], pa.binary())
+            yield table(LIST, block.number, 2, place=numbers_of(2), sizes=both(0), lists=both(1))  # 0: contexts, 1: words
             for rows in whole:
                 for i in range(0, rows.num_rows, 20_000):
                     yield rows.slice(i, 20_000)
@@ -444,42 +559,63 @@ def _index(docs: DataFrame, tree: Tree, frequent: dict[bytes, float], sparse: in
 
 
 def _grown(rows: DataFrame, gain: float) -> DataFrame:
-    """(of, entry, value) of the pairs in retained contexts of words: what the logarithm of their probability gains over their suffix's.
+    """(of, entry, data) for the rows of pairs, from the same entry on: what the logarithm of a pair's probability gains over its suffix's, NaN
+    where the context is not retained.
 
-    Rows meet by context, one for each block that has the pair, so even the commonest has no more rows than there are blocks.
+    Contexts meet by parts of their hash. A block has a pair once, so even the commonest is there as often as there are blocks.
     """
-    own, whole = Window.partitionBy("ctx", "symbol"), Window.partitionBy("ctx")
-    rows = rows.withColumns({"seen": F.sum("n").over(own), "m": F.count(F.lit(1)).over(own)})
-    seen, cost = F.col("seen"), F.col("cost").cast("double")
-    # To write down a next symbol costs as much as its suffix asks for it, which is what it saves the first time.
-    saved = F.when(seen > 0, seen * F.log2(seen) + (seen - 1) * cost * F.log2(F.lit(10.0))).otherwise(0.0) / F.col("m")
-    rows = rows.withColumn("saved", saved).withColumns({"total": F.sum("n").over(whole), "bits": F.sum("saved").over(whole)})
-    rows = rows.filter((F.col("total") > 0) & (F.col("bits") - F.col("total") * F.log2("total") >= gain))
-    by_words = (seen + WORD_WEIGHT * F.pow(F.lit(10.0), -cost)) / (F.col("total") + WORD_WEIGHT)
-    value = F.when(seen > 0, cost + F.log10(by_words)).otherwise(F.log10(WORD_WEIGHT / (F.col("total") + WORD_WEIGHT)))
-    return rows.select(F.col("block").alias("of"), F.lit(0).alias("hit"), "entry", value.alias("value"))
-
-
-def score(docs: DataFrame, held_out: Column, text: str = "text", id_column: str = "doc_id", gain: float = GAIN, word_gain: float = WORD_GAIN, sparse: int = SPARSE) -> DataFrame:
-    """The id, held_out, n_tokens, n_known, train_tokens, base_score and score, trained on the rows that are not held out."""
+
+    def judged(table: pa.Table) -> pa.Table:
+        found = [unpacked(d, np.uint64, np.uint32, np.float32, np.uint32) for d in table.column("lists").to_pylist()]
+        ctx, symbol = np.concatenate([np.cumsum(f[0], dtype=np.uint64) for f in found]), np.concatenate([f[1] for f in found])
+        order = np.lexsort((symbol, ctx))
+        ctx, symbol = ctx[order], symbol[order]
+        cost, n = (np.concatenate([f[k] for f in found])[order].astype(np.float64) for k in (2, 3))
+        new = np.concatenate([[True], ctx[1:] != ctx[:-1]])
+        pair = np.concatenate([[True], symbol[1:] != symbol[:-1]]) | new
+        of_pair, of_ctx = np.cumsum(pair) - 1, np.cumsum(new) - 1
+        seen, m = (np.add.reduceat(x, np.flatnonzero(pair))[of_pair] for x in (n, np.ones(len(n))))
+        # To write down a next symbol costs as much as its suffix asks for it, which is what it saves the first time.
+        some = np.maximum(seen, 1)
+        saved = np.where(seen > 0, some * np.log2(some) + (some - 1) * cost * np.log2(10.0), 0.0) / m
+        total, bits = (np.add.reduceat(x, np.flatnonzero(new)) for x in (n, saved))
+        kept = (total > 0) & (bits - total * np.log2(np.maximum(total, 1)) >= gain)
+        total = total[of_ctx]
+        by_words = (seen + WORD_WEIGHT * 10.0**-cost) / (total + WORD_WEIGHT)
+        value = np.empty(len(n))
+        value[order] = np.where(kept[of_ctx], np.where(seen > 0, cost + np.log10(by_words), np.log10(WORD_WEIGHT / (total + WORD_WEIGHT))), np.nan)
+        data = [packed(v) for v in np.split(value, np.cumsum([len(f[0]) for f in found])[:-1])]
+        return pa.table({"of": table.column("block"), "entry": table.column("entry"), "data": pa.array(data, pa.binary())})
+
+    return rows.groupBy("place").applyInArrow(judged, "of long, entry int, data binary")
+
+
+def score(docs: DataFrame, held_out: Column, text: str = "text", id_column: str = "doc_id", gain: float = GAIN, word_gain: float = WORD_GAIN, sparse: int = 1) -> DataFrame:
+    """The id, held_out, n_tokens, n_known, train_tokens, base_score and score, trained on the rows that are not held out.
+
+    All contexts of words count, unless ``sparse`` asks for those only whose hash it divides."""
     configure(docs.sparkSession)
     sent, _ = neutral(docs.withColumn("__held", held_out), (), __id=id_column, __text=text, held_out="__held")
     rows = sent.filter(~F.col("held_out"))
-    tree = train(rows, "__text", gain)
-    counts = materialise(word_counts(rows), "counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.filter(F.octet_length("w") <= FREQUENT_LENGTH).orderBy(F.desc("c"), "w").limit(FREQUENT).toArrow()
-    frequent = dict(zip(top.column("w").to_pylist(), np.log10(top.column("c").to_numpy() + 1.0).tolist(), strict=True))
-    index = materialise(_index(sent, tree, frequent, sparse), "index")
-    return _scored(index, counts, int(total), int(distinct), word_gain, id_column)
-
-
-def _scored(index: DataFrame, counts: DataFrame, total: int, distinct: int, gain: float, id_column: str) -> DataFrame:
+    with setting(docs.sparkSession, CLEANUP, "true"):
+        tree = train(rows, "__text", gain)
+        counts = materialise(word_counts(rows), "counts")
+        total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+        top = counts.filter(F.octet_length("w") <= FREQUENT_LENGTH).orderBy(F.desc("c"), "w").limit(FREQUENT).toArrow()
+        frequent = dict(zip(top.column("w").to_pylist(), np.log10(top.column("c").to_numpy() + 1.0).tolist(), strict=True))
+        # Without a gain asked for, contexts that no word follows twice stay too.
+        maps = bitmaps(rows, int(total)) if word_gain > 0 else None
+        index = materialise(_index(sent, tree, frequent, sparse, maps), "index")
+        grown = materialise(_grown(index.filter(F.col("kind") == CONTEXT).select("place", "block", "entry", "lists"), word_gain), "grown")
+    return _scored(index, counts, grown, int(total), int(distinct), id_column)
+
+
+def _scored(index: DataFrame, counts: DataFrame, grown: DataFrame, total: int, distinct: int, id_column: str) -> DataFrame:
     kind = lambda k: index.filter(F.col("kind") == k)
     # Frequent words have a row for each block: the join's sides are tables, so their rows may be split among tasks.
     words = kind(WORD).select("block", "word", "entry").join(counts, F.col("word") == F.col("w"))
-    words = words.select(F.col("block").alias("of"), F.lit(1).alias("hit"), "entry", F.log10(F.col("c") + 1.0).alias("value"))
-    contexts = _grown(kind(CONTEXT).select("ctx", "symbol", "cost", "n", "block", "entry"), gain)
+    words = words.select(F.col("block").alias("of"), F.lit(1).alias("hit"), "entry", F.log10(F.col("c") + 1.0).alias("value"), F.lit(None).cast("binary").alias("data"))
+    contexts = grown.select("of", F.lit(0).alias("hit"), "entry", F.lit(None).cast("double").alias("value"), "data")
     papers = index.filter(F.col("kind") <= LIST).select("kind", "block", "place", "sizes", "lists", "doc_id", "held_out", "tokens", "known", "logs", "score")
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -487,12 +623,17 @@ def _scored(index: DataFrame, counts: DataFrame, total: int, distinct: int, gain
         left = left.filter(pc.equal(left.column("kind"), PAPER))
         place = left.column("place").to_numpy()
         sums, hits = np.zeros((2, len(place))), np.zeros(len(place), np.int64)
-        hit, entry, value = (right.column(c).to_numpy() for c in ("hit", "entry", "value"))
+        alone, many = (right.filter(pc.equal(right.column("hit"), k)) for k in (1, 0))
         for row in lists.to_pylist():
-            sizes, data = (np.frombuffer(row[c], np.uint32) for c in ("sizes", "lists"))
-            own = hit == row["place"]
-            values, there = np.zeros(len(sizes)), np.zeros(len(sizes), bool)
-            values[entry[own]], there[entry[own]] = value[own], True
+            sizes, data = (unpacked(row[c], np.uint32)[0] for c in ("sizes", "lists"))
+            values = np.full(len(sizes), np.nan)
+            if row["place"]:
+                values[alone.column("entry").to_numpy()] = alone.column("value").to_numpy()
+            else:
+                for first, found in zip(many.column("entry").to_pylist(), many.column("data").to_pylist(), strict=True):
+                    own = unpacked(found, np.float64)[0]
+                    values[first : first + len(own)] = own
+            there = ~np.isnan(values)
             some = np.repeat(there, sizes)
             where, times = data[some] >> COUNT_BITS, (data[some] & ((1 << COUNT_BITS) - 1)).astype(np.int64)
             sums[row["place"]] = np.bincount(where, weights=times * np.repeat(values, sizes)[some], minlength=len(place))

@@ -472,6 +472,25 @@ def test_the_tree_is_that_of_its_definition(spark, gain, word_gain, monkeypatch)
         assert sorted((r["doc_id"], round(r["score"], 7)) for r in got) == wanted
 
 
+@pytest.mark.parametrize("word_gain", [4.0, 0.0])
+def test_all_contexts_of_words_count(spark, word_gain, monkeypatch):
+    """As registered, without ``sparse``: none is left out, also where the first pass holds little and its bitmap comes in slices."""
+    rows = [(f"d{i}", prose(i % 20, 6 + 5 * (i % 11)), i % 5 == 4) for i in range(60)] + [("n", None, True), ("l", prose(3, 300), False)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, out boolean").repartition(3)
+    plain = lambda text: suffix_tree_lm.plain((text or "").encode())
+    _, deeper, scored = naive_model([plain(t) for _, t, out in rows if not out], 20.0, word_gain)
+    monkeypatch.setattr(suffix_tree_lm, "POOL", 50)
+    monkeypatch.setattr(suffix_tree_lm, "TREE_BYTES", 5000)
+    got = rows_of(suffix_tree_lm.score(docs, F.col("out"), word_gain=word_gain))
+    assert deeper and sorted((r["doc_id"], round(r["score"], 7)) for r in got) == sorted((i, round(scored(plain(t)), 7)) for i, t, _ in rows)
+
+
+def test_packed_arrays():
+    for size in (0, 1, 1000):
+        given = [np.arange(size, dtype=np.uint64) << np.uint64(50), np.linspace(-1, 1, size, dtype=np.float32)]
+        assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(suffix_tree_lm.unpacked(suffix_tree_lm.packed(*given), np.uint64, np.float32), given, strict=True))
+
+
 def test_automaton_follows_the_longest_suffix():
     texts = [suffix_tree_lm.plain(prose(i, 120).encode()) for i in range(40)]
     keys, n = suffix_tree_lm.grams(suffix_tree_lm.stream(texts)[0])
