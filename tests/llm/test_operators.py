@@ -485,6 +485,13 @@ def test_all_contexts_of_words_count(spark, word_gain, monkeypatch):
     assert deeper and sorted((r["doc_id"], round(r["score"], 7)) for r in got) == sorted((i, round(scored(plain(t)), 7)) for i, t, _ in rows)
 
 
+def test_distinct_keys():
+    few, many = (suffix_tree_lm.stream([suffix_tree_lm.plain(t) for t in ts])[0] for ts in ([prose(3, 300).encode(), b"", b"a"], [bytes(range(256)) * 300, b"x y"]))
+    for data in (few, many):
+        keys = suffix_tree_lm.keyed(data)
+        assert all((a == b).all() for a, b in zip(suffix_tree_lm.distinct(keys, data), np.unique(keys, return_inverse=True), strict=True))
+
+
 def test_packed_arrays():
     for size in (0, 1, 1000):
         given = [np.arange(size, dtype=np.uint64) << np.uint64(50), np.linspace(-1, 1, size, dtype=np.float32)]
