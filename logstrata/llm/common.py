@@ -44,6 +44,14 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+@contextlib.contextmanager
+def broadcasts(spark: SparkSession, most: int) -> Iterator[None]:
+    """Joins that run within broadcast no table of more than so many bytes by Spark's estimate, or none larger than the session allows."""
+    least = str(min(most, spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()))
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", least), setting(spark, "spark.sql.adaptive.autoBroadcastJoinThreshold", least):
+        yield
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. A temporary one is made only where none is set and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

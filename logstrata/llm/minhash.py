@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logstrata.llm.common import SLICE_BYTES, binary, carried, configure, materialise, neutral, setting, slices
+from logstrata.llm.common import SLICE_BYTES, binary, broadcasts, carried, configure, materialise, neutral, setting, slices
 
 BANDS, ROWS = 64, 6
 BINS = BANDS * ROWS
@@ -51,6 +51,9 @@ ROUNDS = 60
 PARTS = 64
 #: Members of a bucket that are dealt out together: larger buckets lie in several parts, so no task gets a whole large one.
 SHARE = 64
+#: Most that a table may have, by Spark's estimate, to be broadcast (a session's lesser bound holds): the driver builds these tables, and
+#: several at once, and the estimate is by compressed files.
+BROADCAST_BYTES = 256 << 10
 #: Distinct words a worker keeps from one slice of texts to the next: few, as look-ups are quickest in a small table.
 WORDS_KEPT = 20_000
 
@@ -239,8 +242,12 @@ def _unlike(rows: DataFrame, doubtful: DataFrame, size: int) -> DataFrame:
 
 
 def _spread(small: DataFrame) -> DataFrame:
-    """A row of each bucket, once for each of its parts."""
-    return small.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    """A row of each bucket, once for each of its parts, to be joined by bucket and part.
+
+    Never broadcast: Spark judges its size by the rows before they are repeated, which a large bucket has in hundreds of parts, and
+    by compressed files; the driver would have to hold all of them.
+    """
+    return small.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").hint("merge")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -419,34 +426,35 @@ def near_dedup(docs: DataFrame, text: str = "text", id_column: str = "doc_id", s
     of the words' hashes, which changes no result."""
     configure(docs.sparkSession)
     sent, passed = neutral(docs, carried(carry, OUTPUTS), __text=text, __id=id_column)
-    rows = materialise(_profile(sent, size, bits), "profile")
-    order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
-
-    def classed(rows: DataFrame) -> DataFrame:
-        words = [F.min("__words").alias("lo"), F.max("__words").alias("hi")]
-        return materialise(rows.filter("__n > 0").groupBy("__key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"), *words), "classes")
-
-    sets = classed(rows)
-    doubtful = sets.filter("lo <> hi").select(F.col("__key").alias("k"), F.col("first.row").alias("head"))
-    if not doubtful.isEmpty():  # equal hashes of texts that are not the same words
-        unlike = materialise(_unlike(rows, doubtful, size), "unlike")
-        apart = F.when(F.col("w").isNotNull(), F.concat("__key", "__words")).otherwise(F.col("__key"))
-        rows = materialise(rows.join(unlike, (F.col("__key") == F.col("k")) & (F.col("__words") == F.col("w")), "left").withColumn("__key", apart).drop("k", "w"), "profile")
+    with broadcasts(docs.sparkSession, BROADCAST_BYTES):
+        rows = materialise(_profile(sent, size, bits), "profile")
+        order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
+
+        def classed(rows: DataFrame) -> DataFrame:
+            words = [F.min("__words").alias("lo"), F.max("__words").alias("hi")]
+            return materialise(rows.filter("__n > 0").groupBy("__key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"), *words), "classes")
+
         sets = classed(rows)
-    heads = sets.select(F.col("first.row").alias("__row"))
-    classes = materialise(rows.select("__row", "__n", "__bands").join(heads, "__row"), "bands")
-    # Parts of buckets are even; where a join's other side turns out small, reading map outputs as they lie would undo that.
-    with setting(docs.sparkSession, "spark.sql.adaptive.localShuffleReader.enabled", "false"):
-        labels = links(rows, classes, size, percent, bits)
-    by_class = sets.select(F.col("__key").alias("__of"), "first", "copies")
-    if labels is None:
-        by_class = by_class.withColumn("top", F.col("first"))
-    else:
-        rooted = by_class.join(labels, by_class["first"]["row"] == labels["node"], "left").select("__of", "first", "copies", F.coalesce("root", F.col("first.row")).alias("root"))
-        rooted = materialise(rooted, "rooted")
-        tops = rooted.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("top"), F.sum("copies").alias("all"))
-        by_class = rooted.join(tops, rooted["root"] == tops["r"]).drop("r", "root")
-    by_class = materialise(by_class.select("__of", "first", "top"), "tops")
+        doubtful = sets.filter("lo <> hi").select(F.col("__key").alias("k"), F.col("first.row").alias("head"))
+        if not doubtful.isEmpty():  # equal hashes of texts that are not the same words
+            unlike = materialise(_unlike(rows, doubtful, size), "unlike")
+            apart = F.when(F.col("w").isNotNull(), F.concat("__key", "__words")).otherwise(F.col("__key"))
+            rows = materialise(rows.join(unlike, (F.col("__key") == F.col("k")) & (F.col("__words") == F.col("w")), "left").withColumn("__key", apart).drop("k", "w"), "profile")
+            sets = classed(rows)
+        heads = sets.select(F.col("first.row").alias("__row"))
+        classes = materialise(rows.select("__row", "__n", "__bands").join(heads, "__row"), "bands")
+        # Parts of buckets are even; where a join's other side turns out small, reading map outputs as they lie would undo that.
+        with setting(docs.sparkSession, "spark.sql.adaptive.localShuffleReader.enabled", "false"):
+            labels = links(rows, classes, size, percent, bits)
+        by_class = sets.select(F.col("__key").alias("__of"), "first", "copies")
+        if labels is None:
+            by_class = by_class.withColumn("top", F.col("first"))
+        else:
+            rooted = by_class.join(labels, by_class["first"]["row"] == labels["node"], "left").select("__of", "first", "copies", F.coalesce("root", F.col("first.row")).alias("root"))
+            rooted = materialise(rooted, "rooted")
+            tops = rooted.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("top"), F.sum("copies").alias("all"))
+            by_class = rooted.join(tops, rooted["root"] == tops["r"]).drop("r", "root")
+        by_class = materialise(by_class.select("__of", "first", "top"), "tops")
     joined = rows.drop("__bands", "__words").join(by_class, rows["__key"] == by_class["__of"], "left")
     empty = F.col("__of").isNull()
     top = F.when(empty, F.col("__id")).otherwise(F.col("top.id"))

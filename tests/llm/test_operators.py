@@ -609,6 +609,32 @@ def test_no_link_of_the_documents_is_missed(spark, sf_dir):
     assert Counter(got) == Counter(wanted) and len({r[3] for r in got}) < len(got)
 
 
+def test_rows_repeated_for_the_parts_of_buckets_are_never_broadcast(spark, monkeypatch):
+    """The driver would hold them all: a file of 43 KB with pivots made over 700 MB of rows there."""
+    bases = [prose(700 + i, 120).split() for i in range(3)]
+    texts = [" ".join([*b[:i], f"w{i}", *b[i + 1 + i % 3 * 7 :]]) for b in bases for i in range(0, 90, 6)]
+    rows, plans, bounds, store = list(enumerate(texts)), [], set(), minhash.materialise
+
+    def storing(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().splitlines())
+        bounds.update(spark.conf.get(f"spark.sql.{kind}autoBroadcastJoinThreshold", None) for kind in ("", "adaptive."))
+        return store(df, label)
+
+    def sent(plan):  # the lines below each broadcast
+        depth = [len(re.match(r"[\s:|+-]*", line)[0]) for line in plan]
+        for i, line in enumerate(plan):
+            if "BroadcastExchange" in line:
+                yield from itertools.takewhile(lambda j: depth[j] > depth[i], range(i + 1, len(plan)))
+
+    monkeypatch.setattr(minhash, "materialise", storing)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    got = rows_of(minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), size=4))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == near_truth(rows, 4, 80)
+    repeated = [(plan, i) for plan in plans for i, line in enumerate(plan) if "explode(sequence(0" in line]
+    assert repeated and not any(i in set(sent(plan)) for plan, i in repeated)
+    assert bounds == {str(minhash.BROADCAST_BYTES)} and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_dedup(empty(spark)).count() == 0
 
